@@ -31,7 +31,8 @@ def prompt_tokens(col) -> Column:
 
 def build_vocab(tokens_df: DataFrame, tokens_col: str, size: int) -> DataFrame:
     """``(token, id)`` for the ``size`` most frequent tokens (ties by token)."""
-    counts = (tokens_df.select(F.explode(tokens_col).alias("token"))
+    counts = (tokens_df.select(F.explode_outer(tokens_col).alias("token"))
+              .where(F.col("token").isNotNull())
               .groupBy("token").agg(F.count(F.lit(1)).alias("n")))
     top = counts.orderBy(F.col("n").desc(), F.col("token")).limit(size)
     w = Window.orderBy(F.col("n").desc(), F.col("token"))  # over <= size rows only
@@ -41,7 +42,8 @@ def build_vocab(tokens_df: DataFrame, tokens_col: str, size: int) -> DataFrame:
 def token_ids(df: DataFrame, id_col: str, tokens_col: str, vocab: DataFrame,
               out_col: str = "ids") -> DataFrame:
     """Map each row's tokens to ids (unknown -> UNK), order kept."""
-    ex = df.select(id_col, F.posexplode(tokens_col).alias("pos", "token"))
+    ex = (df.select(id_col, F.posexplode_outer(tokens_col).alias("pos", "token"))
+          .where(F.col("pos").isNotNull()))
     mapped = (ex.join(vocab, "token", "left")
               .select(id_col, "pos", F.coalesce(F.col("id"), F.lit(UNK_ID)).alias("id")))
     lists = (mapped.groupBy(id_col)
@@ -83,8 +85,10 @@ def completion_only_labels(ids, template_ids) -> Column:
     starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(c) - k + 1, F.lit(1))),
                       lambda i: F.slice(c, i, k) == t)
     last = F.array_max(starts)
-    end = F.when(last.isNull(), F.size(c)).otherwise(last + k - 1)  # 1-based end of marker
-    return F.transform(c, lambda x, i: F.when(i < end, F.lit(IGNORE_INDEX)).otherwise(x))
+    n = F.size(c)
+    end = F.when(last.isNull(), n).otherwise(F.least(last + k - 1, n))  # masked prefix length
+    # no lambda refers to ``end``: it is evaluated once per row
+    return F.concat(F.array_repeat(F.lit(IGNORE_INDEX), end), F.slice(c, end + 1, F.greatest(n - end, F.lit(0))))
 
 
 def prefix_sum(df: DataFrame, order_col: str, value_col: str, out_col: str = "offset",

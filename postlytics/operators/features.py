@@ -21,7 +21,8 @@ from postlytics.functions import text as tx
 
 def term_counts(df: DataFrame, id_col: str = "post_id", text_col: str = "text") -> DataFrame:
     """``(id, term, tf)``: tokens of 2+ word characters, lower-cased."""
-    return (df.select(id_col, F.explode(tx.word_tokens(text_col)).alias("term"))
+    return (df.select(id_col, F.explode_outer(tx.word_tokens(text_col)).alias("term"))
+              .where(F.col("term").isNotNull())
               .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
@@ -106,7 +107,8 @@ def column_stats(df: DataFrame, vec_col: str):
     The result has one row per dimension, so it is collected: its size is
     bounded by the vector length, not by the data.
     """
-    stats = (df.select(F.posexplode(vec_col).alias("dim", "x"))
+    stats = (df.select(F.posexplode_outer(vec_col).alias("dim", "x"))
+               .where(F.col("dim").isNotNull())
                .groupBy("dim").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
                .collect())
     stats = sorted(stats, key=lambda r: r["dim"])
@@ -135,8 +137,9 @@ def fit_lexicon(df: DataFrame, label_col: str = "label", id_col: str = "post_id"
                 text_col: str = "text") -> DataFrame:
     """C14 lexicon from labelled posts: ``valence(token) = mean(label - 1)``
     over the posts that contain the token (each post counted once)."""
-    toks = (df.select(id_col, label_col, F.explode(tx.preprocess_tokens(text_col)).alias("token"))
-              .distinct())
+    toks = (df.select(id_col, label_col,
+                      F.explode_outer(tx.preprocess_tokens(text_col)).alias("token"))
+              .where(F.col("token").isNotNull()).distinct())
     return toks.groupBy("token").agg(F.avg(F.col(label_col) - 1.0).alias("valence"))
 
 
@@ -144,7 +147,8 @@ def lexicon_scores(df: DataFrame, lexicon: DataFrame, id_col: str = "post_id",
                    text_col: str = "text") -> DataFrame:
     """C14: per post ``s = sum of valences`` (repeats count), ``compound =
     s / sqrt(s^2 + 15)``; posts without a lexicon token score 0."""
-    toks = df.select(id_col, F.explode(tx.preprocess_tokens(text_col)).alias("token"))
+    toks = (df.select(id_col, F.explode_outer(tx.preprocess_tokens(text_col)).alias("token"))
+            .where(F.col("token").isNotNull()))
     s = toks.join(lexicon, "token").groupBy(id_col).agg(F.sum("valence").alias("s"))
     out = df.select(id_col).join(s, id_col, "left").fillna(0.0, ["s"])
     return out.select(id_col, F.col("s").alias("sum_valence"),

@@ -40,7 +40,7 @@ def drop_rename(df: DataFrame, drop: Sequence[str] = (), rename: dict | None = N
 def explode_nonnull(df: DataFrame, col: str, keep: Sequence[str] = (), alias: str | None = None) -> DataFrame:
     """One row per list element; null/empty lists and null elements dropped."""
     name = alias or col
-    return (df.select(*keep, F.explode(col).alias(name))
+    return (df.select(*keep, F.explode_outer(col).alias(name))
               .where(F.col(name).isNotNull()))
 
 

@@ -55,16 +55,11 @@ def cos_sim_pairs(spark, a: Sequence[str], b: DataFrame, b_col: str,
     """
     emb = embedder or HashedNgramEmbedder()
     qv = query_vectors(spark, list(a), emb)
-    vec = emb.expression(b_col)
-    if vec is None:
-        bv = b.join(emb.embed(b.select(b_col).distinct(), b_col).withColumnRenamed(
-            "embedding", "_bv"), b_col, "left")
-    else:
-        bv = b.withColumn("_bv", vec)
+    bv = emb.add_column(b, b_col, "_bv")
     pairs = F.array(*[F.struct(F.lit(i).alias("a_pos"), F.lit(q).alias("a"),
                                cosine(vector_literal(v), F.col("_bv")).alias("cos_sim"))
                       for i, (q, v) in enumerate(zip(a, qv))])
-    return (bv.select(*keep, b_col, F.explode(pairs).alias("_p"))
+    return (bv.select(*keep, b_col, F.explode_outer(pairs).alias("_p"))
             .select(*keep, F.col("_p.a_pos").alias("a_pos"), F.col("_p.a").alias("a"),
                     b_col, F.col("_p.cos_sim").alias("cos_sim")))
 
@@ -94,15 +89,11 @@ def compute_similarity(df: DataFrame, id_col: str, query: str, columns: Sequence
     qv = vector_literal(query_vectors(spark, [query], emb)[0])
     parts = None
     for c in columns:
-        ex = (df.select(id_col, F.lit(c).alias("_col"), F.explode(as_list(df, c)).alias("element"))
+        ex = (df.select(id_col, F.lit(c).alias("_col"), F.explode_outer(as_list(df, c)).alias("element"))
               .where(F.col("element").isNotNull()))
         parts = ex if parts is None else parts.unionByName(ex)
-    expr = emb.expression("element")
-    if expr is not None:
-        scored = parts.withColumn("_s", cosine(qv, expr))
-    else:
-        vecs = element_vectors(parts.select(F.array("element").alias("e")), "e", emb)
-        scored = parts.join(vecs, "element").withColumn("_s", cosine(qv, F.col("embedding")))
+    vecs = element_vectors(parts.select(F.array("element").alias("e")), "e", emb)
+    scored = parts.join(vecs, "element").withColumn("_s", cosine(qv, F.col("embedding")))
     means = (scored.groupBy(id_col).pivot("_col", list(columns)).agg(F.avg("_s")))
     out = df.join(means.select(id_col, *[F.col(f"`{c}`").alias(f"{c}_cos_sim") for c in columns]),
                   id_col, "left")
