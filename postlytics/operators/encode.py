@@ -44,11 +44,12 @@ def token_ids(df: DataFrame, id_col: str, tokens_col: str, vocab: DataFrame,
     """Map each row's tokens to ids (unknown -> UNK), order kept."""
     ex = (df.select(id_col, F.posexplode_outer(tokens_col).alias("pos", "token"))
           .where(F.col("pos").isNotNull()))
-    mapped = (ex.join(vocab, "token", "left")
-              .select(id_col, "pos", F.coalesce(F.col("id"), F.lit(UNK_ID)).alias("id")))
+    voc = vocab.select("token", F.col("id").alias("_vid"))
+    mapped = (ex.join(voc, "token", "left")
+              .select(id_col, "pos", F.coalesce(F.col("_vid"), F.lit(UNK_ID)).alias("_vid")))
     lists = (mapped.groupBy(id_col)
-             .agg(F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("_p"))
-             .select(id_col, F.transform("_p", lambda s: s["id"]).alias(out_col)))
+             .agg(F.sort_array(F.collect_list(F.struct("pos", "_vid"))).alias("_p"))
+             .select(id_col, F.transform("_p", lambda s: s["_vid"]).alias(out_col)))
     empty = F.array().cast("array<int>")
     return (df.join(lists, id_col, "left")
             .withColumn(out_col, F.coalesce(F.col(out_col), empty)))
