@@ -208,3 +208,22 @@ def c14_lexicon_score(spark, sf):
     return sc.select("post_id", _r(F.col("sum_valence"), "sum_valence"),
                      _r(F.col("compound"), "compound"),
                      tx.compound_to_label("compound").alias("label"))
+
+
+# --- C9 / C10 ----------------------------------------------------------------
+
+@register("c9_stem_vocabulary")
+def c9_stem_vocabulary(spark, sf):
+    """Porter stems of every distinct token of all documents (after C8)."""
+    from postlytics.operators import stem as st
+    d = io.read_table(spark, sf, "documents")
+    toks = (d.select(F.explode_outer(tx.preprocess_tokens("text")).alias("token"))
+            .where(F.col("token").isNotNull()))
+    return st.stem_table(toks)
+
+
+@register("c10_preprocess")
+def c10_preprocess(spark, sf):
+    """The classical preparation (clean, tokenize, stop words, stem) of all posts."""
+    from postlytics.operators import stem as st
+    return st.preprocess(dv.posts(spark, sf), "post_id", "text")
