@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # --- fixed values: special token ids ---------------------------------------
 PAD_ID, UNK_ID, CLS_ID, SEP_ID = 0, 1, 2, 3
@@ -157,7 +158,7 @@ def group_by_length(df: DataFrame, length_col: str, batch_size: int,
     tie = F.xxhash64(*[F.col(c) for c in df.columns])
     ranged = (df.withColumn("_tie", tie).repartitionByRange(n, length_col, "_tie")
               .sortWithinPartitions(length_col, "_tie").drop("_tie"))
-    schema = df.schema.add("batch_id", "long")
+    schema = T.StructType(df.schema.fields + [T.StructField("batch_id", T.LongType())])
 
     def cut(it):
         import numpy as np

@@ -1 +1,161 @@
-"""Registered queries (placeholder)."""
+"""Registered queries: segmentation (D9), clustering (G1-G5), models (J)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from postlytics.functions import text as tx
+from postlytics.operators import cluster as cl
+from postlytics.operators import embed as em
+from postlytics.operators import features as ft
+from postlytics.operators import modeling as md
+from postlytics.operators import segment as sg
+from postlytics.plans import derived as dv
+from postlytics.plans.derived import with_ctes
+from postlytics.plans.q_core import _r
+from postlytics.plans.registry import register
+from postlytics.sources import io
+
+EMB = em.HashedNgramEmbedder()
+
+
+def _distinct_tags(spark, sf):
+    t = dv.tags(spark, sf)
+    return (t.select(F.explode_outer("tags").alias("tag")).where(F.col("tag").isNotNull()).distinct())
+
+
+def _counts(spark, sf):
+    return sg.unigram_counts(io.read_table(spark, sf, "documents"))
+
+
+@register("d9_segment_tags")
+def d9_segment_tags(spark, sf):
+    """Every distinct hashtag split into words (corpus unigram model)."""
+    return sg.segment(_distinct_tags(spark, sf), "tag", _counts(spark, sf))
+
+
+@register("g1_cluster_hashtags")
+def g1_cluster_hashtags(spark, sf):
+    """G1: segment -> embed -> standardise -> KMeans(8) over all distinct hashtags."""
+    out, _ = cl.cluster_elements(_distinct_tags(spark, sf), "tag", EMB, n_clusters=8,
+                                 segmenter=sg.segmenter(_counts(spark, sf)))
+    return out.select(F.col("element").alias("tag"), "cluster")
+
+
+def _scaled_embeddings(spark, sf):
+    e = io.read_table(spark, sf, "embeddings").select(
+        "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    return ft.standardize(e, "embedding", "scaled")
+
+
+@register("g2_kmeans")
+def g2_kmeans(spark, sf):
+    """KMeans (k = 10) of the standardised embeddings."""
+    out, _ = cl.kmeans(_scaled_embeddings(spark, sf), "scaled", 10)
+    return out.select("vec_id", "cluster")
+
+
+@register("g3_meanshift")
+def g3_meanshift(spark, sf):
+    """Flat-kernel mean shift of the standardised embeddings."""
+    out, _ = cl.meanshift(_scaled_embeddings(spark, sf), "scaled")
+    return out.select("vec_id", "cluster")
+
+
+@register("g4_assign_nearest")
+def g4_assign_nearest(spark, sf):
+    """Every embedding assigned to its nearest KMeans centre (with the
+    distance to it), centres fitted on the same data."""
+    sc = _scaled_embeddings(spark, sf)
+    _, model = cl.kmeans(sc, "scaled", 10)
+    centres = [list(map(float, c)) for c in model.clusterCenters()]
+    return cl.assign(sc.select("vec_id", "scaled"), "scaled", centres).select("vec_id", "cluster")
+
+
+@register("g5_search_within_cluster")
+def g5_search_within_cluster(spark, sf):
+    """Hashtags in the cluster of the most mentioned tag, cosine >= 0.5."""
+    from postlytics.operators import graph as gr
+    tags = _distinct_tags(spark, sf)
+    out, info = cl.cluster_elements(tags, "tag", EMB, n_clusters=8)
+    query = gr.popular_tags(dv.tags(spark, sf), "post_id", "tags", 1).first()["tag"]
+    qv = EMB.embed(spark.createDataFrame([(query,)], "element string")).first()["embedding"]
+    qs = cl.scale_literal(qv, info["means"], info["stds"])
+    hits = cl.search_within_cluster(out.where(F.col("element") != query), qs, info["centres"])
+    return hits.select(F.col("element").alias("tag"), "cluster", _r(F.col("similarity"), "similarity"))
+
+
+# --- J -------------------------------------------------------------------------
+
+@register("j2_folds", sql=with_ctes(
+    ["posts"], """SELECT post_id, label, CAST(('0x' || substr(md5(CAST(label AS VARCHAR) || ':' ||
+                   CAST(post_id AS VARCHAR)), 1, 8))::BIGINT % 3 AS INTEGER) AS fold
+                  FROM posts WHERE split IN ('train', 'validation')"""))
+def j2_folds(spark, sf):
+    """Cross-validation folds of train + validation (label-salted md5)."""
+    p = dv.posts(spark, sf).where(F.col("split").isin("train", "validation"))
+    return p.select("post_id", "label", md.fold_column("post_id", "label").alias("fold"))
+
+
+def _features(spark, sf, method="tfidf"):
+    p = dv.posts(spark, sf)
+    tv = p.where(F.col("split").isin("train", "validation"))
+    te = io.pick_split(p, "test")
+    (a, b), _ = md.featurize(tv, [te], method)
+    return a, b
+
+
+@register("j3_tune_best_trial")
+def j3_tune_best_trial(spark, sf):
+    """4 seeded logistic-regression trials, 3-fold CV on train +
+    validation TF-IDF; one row per trial with its mean weighted F1."""
+    tv, _ = _features(spark, sf)
+    trials = md.draw_trials(md.LOGREG_SPACE, 4)
+    best, score, scores = md.cross_validate(tv.cache(), "logreg", trials)
+    rows = [(i, float(t["C"]), t["penalty"], float(s), t == best) for i, (t, s) in enumerate(zip(trials, scores))]
+    return spark.createDataFrame(rows, "trial int, C double, penalty string, cv_f1_weighted double, best boolean")
+
+
+@register("j6_fit_predict")
+def j6_fit_predict(spark, sf):
+    """Logistic regression (C = 1, l2) fitted on train + validation
+    TF-IDF, predictions for the test split."""
+    tv, te = _features(spark, sf)
+    pred, _ = md.fit_predict(tv, te, "logreg", {"C": 1.0, "penalty": "l2"})
+    return pred
+
+
+@register("j5_forest_predict")
+def j5_forest_predict(spark, sf):
+    """Random forest (reference space, one seeded trial) on hashed
+    embeddings; test-split predictions."""
+    tv, te = _features(spark, sf, "embedding")
+    params = md.draw_trials(md.FOREST_SPACE, 1)[0]
+    pred, _ = md.fit_predict(tv, te, "forest", params)
+    return pred
+
+
+def j7_experiment_grid(spark, sf):
+    """2 vectorisers x 2 models, tuned, fitted, scored: metrics + seconds
+    (TF-IDF over the 4096 most frequent terms). Not registered: with the
+    reference's forest space (up to 500 trees, depth 30) it runs for
+    minutes even at sf0.01; tests/test_models.py runs it on a fixture."""
+    _, mets = md.experiment_grid(dv.posts(spark, sf), trials_per_model=1, vocab_size=4096)
+    return mets
+
+
+def _length_rule_model():
+    names = ["Negative", "Neutral", "Positive"]
+    return lambda texts: [f"Sentiment: {names[len(t) % 3]}" for t in texts]
+
+
+@register("j8_batch_score", sql=with_ctes(
+    ["posts"], f"""SELECT post_id, raw, {dv.sql_parse_generation('raw')} AS y_pred FROM (
+        SELECT post_id, 'Sentiment: ' || (['Negative','Neutral','Positive'])[length(text) % 3 + 1] AS raw
+        FROM posts WHERE split = 'test')"""))
+def j8_batch_score(spark, sf):
+    """Batch scoring of the test posts by a user model (batches of 8),
+    then parsing of its output."""
+    t = io.pick_split(dv.posts(spark, sf), "test")
+    scored = md.batch_score(t, "text", _length_rule_model)
+    return scored.select("post_id", "raw", tx.parse_generation("raw").alias("y_pred"))
