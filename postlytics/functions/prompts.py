@@ -130,6 +130,27 @@ def few_shot_block(examples: DataFrame, text_col: str = "text", label_col: str =
     return FEW_SHOT_HEADER + "\n".join(r["e"] for r in rows) + "\n"
 
 
+def few_shot_blocks(train: DataFrame, ks=FEW_SHOT_KS, text_col: str = "text",
+                    label_col: str = "label", id_col: str = "post_id", seed: int = 42) -> dict:
+    """The examples block of every ``k`` from one sampling pass."""
+    from postlytics.operators.sampling import few_shot_samples
+
+    def name(label):
+        return {0: "Negative", 1: "Neutral", 2: "Positive"}.get(label, "None")
+
+    samples = few_shot_samples(train, [k for k in ks if k > 0] or [0], label_col, id_col, seed,
+                               keep=[text_col])
+    out = {}
+    for k in ks:
+        if k == 0:
+            out[k] = ""
+            continue
+        ex = [SA_EXAMPLE_TEMPLATE.format(text=r[text_col], sentiment=name(r[label_col]))
+              for r in samples[k]]
+        out[k] = FEW_SHOT_HEADER + "\n".join(ex) + "\n"
+    return out
+
+
 def test_prompt(model: str, text, examples: str | Column = "", completion: bool = False) -> Column:
     """Model wrapper around the task template with examples and text.
 

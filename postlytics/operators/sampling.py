@@ -155,3 +155,42 @@ def few_shot_sample(df: DataFrame, k: int, label_col: str = "label",
     return (picked.withColumn("_h", draw_hash(id_col, seed))
             .withColumn("shot", F.row_number().over(order))
             .drop("_h", "_part"))
+
+
+def few_shot_samples(df: DataFrame, ks, label_col: str = "label", id_col: str = "post_id",
+                     seed: int = 42, keep=()) -> dict:
+    """E2 for several ``k`` in one pass: ``{k: [rows in listing order]}``.
+
+    Every k's draw is a prefix of the same hash order, so the rows any k can
+    use are the first ``max(k) // classes`` of each class plus the first
+    ``max(k) + classes`` rows overall. Only that bounded candidate set
+    (at most about ``2 * max(k) + classes`` rows) is fetched; each k is
+    then resolved on it exactly as :func:`few_shot_sample` would.
+    """
+    counts = _class_counts(df, label_col)
+    n_cls = len(counts)
+    k_max = max(ks)
+    q_max = k_max // n_cls
+    cols = [id_col, label_col, *keep]
+    per_class = smallest_per_group(df, label_col, {c: q_max for c in counts}, id_col, seed)
+    overall = (df.withColumn("_h", draw_hash(id_col, seed)).orderBy("_h", id_col)
+               .limit(k_max + n_cls).drop("_h"))
+    cand = (per_class.select(*cols).unionByName(overall.select(*cols)).distinct()
+            .withColumn("_h", draw_hash(id_col, seed)).collect())
+    cand.sort(key=lambda r: (r["_h"], r[id_col]))
+    out = {}
+    for k in ks:
+        per = k // n_cls
+        if any(v < per for v in counts.values()):
+            raise ValueError("a class has fewer rows than the per-class quota")
+        picked, seen = [], {}
+        for r in cand:
+            c = r[label_col]
+            if seen.get(c, 0) < per:
+                seen[c] = seen.get(c, 0) + 1
+                picked.append(r)
+        picked.sort(key=lambda r: (r[label_col], r["_h"], r[id_col]))
+        chosen = {r[id_col] for r in picked}
+        rest = [r for r in cand if r[id_col] not in chosen][: k - per * n_cls]
+        out[k] = picked + rest
+    return out

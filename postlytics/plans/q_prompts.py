@@ -175,7 +175,9 @@ def p7_test_prompts(spark, sf):
         f"SELECT {k} AS k, block FROM ({_sql_block(k)})" for k in pr.FEW_SHOT_KS) + ")"]))
 def p8_few_shot_sweep(spark, sf):
     """The whole k sweep (0, 3, ..., 21) as one frame keyed by k."""
-    blocks = [(k, _block(spark, sf, k)) for k in pr.FEW_SHOT_KS]
+    train = io.pick_split(dv.posts(spark, sf), "train").select("post_id", "text", "label")
+    by_k = pr.few_shot_blocks(train, pr.FEW_SHOT_KS)
+    blocks = [(k, by_k[k]) for k in pr.FEW_SHOT_KS]
     arr = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(b).alias("block")) for k, b in blocks])
     t = io.pick_split(dv.posts(spark, sf), "test").select("post_id", "text", F.explode(arr).alias("kb"))
     return t.select(F.col("kb.k").alias("k"), "post_id",
