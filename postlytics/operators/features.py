@@ -59,10 +59,21 @@ def fit_tfidf(df: DataFrame, id_col: str = "post_id", text_col: str = "text") ->
 
 
 def tfidf(df: DataFrame, id_col: str = "post_id", text_col: str = "text"):
-    """D3: fit on ``df`` and transform it; returns ``(weights, model)``."""
-    model = fit_tfidf(df, id_col, text_col)
-    counts = term_counts(df, id_col, text_col)
-    return _l2_normalise(counts.join(model.idf, "term"), id_col), model
+    """D3: fit on ``df`` and transform it; returns ``(weights, model)``.
+
+    The term-count table feeds three branches (document frequencies,
+    weights, norms); it is persisted (memory and disk, recomputable from
+    lineage if an executor is lost) so the texts are tokenized once, not
+    three times. ``model.counts.unpersist()`` releases it.
+    """
+    from pyspark import StorageLevel
+    n = df.count()
+    counts = term_counts(df, id_col, text_col).persist(StorageLevel.MEMORY_AND_DISK)
+    idf = (counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+           .select("term", (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf")))
+    model = TfidfModel(idf, n, id_col, text_col)
+    model.counts = counts
+    return _l2_normalise(counts.join(idf, "term"), id_col), model
 
 
 def extract_features(df: DataFrame, method: str = "tfidf", id_col: str = "post_id",
