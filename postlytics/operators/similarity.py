@@ -92,6 +92,10 @@ def compute_similarity(df: DataFrame, id_col: str, query: str, columns: Sequence
         ex = (df.select(id_col, F.lit(c).alias("_col"), F.explode_outer(as_list(df, c)).alias("element"))
               .where(F.col("element").isNotNull()))
         parts = ex if parts is None else parts.unionByName(ex)
+    # element mentions feed both the distinct-element embedding and the join:
+    # persisted so the posts are exploded once
+    from pyspark import StorageLevel
+    parts = parts.persist(StorageLevel.MEMORY_AND_DISK)
     vecs = element_vectors(parts.select(F.array("element").alias("e")), "e", emb)
     scored = parts.join(vecs, "element").withColumn("_s", cosine(qv, F.col("embedding")))
     means = (scored.groupBy(id_col).pivot("_col", list(columns)).agg(F.avg("_s")))
