@@ -67,3 +67,17 @@ def test_predictions_sink_dynamic_overwrite(spark):
 def test_observations_keep_eval_only(spark):
     df = rl.observations(spark, "e", "r", {"eval_f1": 0.5, "loss": 1.0}, step=3, ts_ms=0)
     assert [(r.metric, r.step) for r in df.collect()] == [("eval_f1", 3)]
+
+
+def test_load_posts_partitioned_formats(spark):
+    rows = [(1, "a", 0, "train"), (2, "b", 1, "test"), (3, "c", 2, "train")]
+    df = spark.createDataFrame(rows, "post_id long, text string, label int, split string")
+    for fmt in ("parquet", "json"):
+        path = os.path.join(tempfile.mkdtemp(prefix="posts-"), "p")
+        df.write.partitionBy("split").format(fmt).save(path)
+        posts = io.load_posts(spark, path, fmt=fmt)
+        got = sorted(r.post_id for r in io.pick_split(posts, "train").collect())
+        assert got == [1, 3], fmt
+    parts = io.assemble_splits({"train": df.where("split = 'train'").drop("split"),
+                                "test": df.where("split = 'test'").drop("split")})
+    assert sorted((r.post_id, r.split) for r in parts.collect()) == [(1, "train"), (2, "test"), (3, "train")]
