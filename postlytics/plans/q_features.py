@@ -137,7 +137,27 @@ def _training_prompt_sql(x: str) -> str:
     return sql_training_example(x)
 
 
-@register("d11_completion_mask", sql=None)
+def _sql_d11() -> str:
+    from postlytics.plans.q_prompts import PHI3, sql_training_example
+    tmpl = "['#', '#', '#', 'Sentiment', ':']"
+    return with_ctes(
+        ["posts"],
+        """SELECT post_id, CAST(len(ids) AS INTEGER) AS n_ids, CAST(len(ids) - e AS INTEGER) AS n_target,
+                  array_to_string(list_transform(range(e), lambda x: -100) || ids[e + 1:], ' ') AS labels
+           FROM (SELECT post_id, ids, CASE WHEN last IS NULL THEN len(ids)
+                                          ELSE least(last + 4, len(ids)) END AS e FROM lab)""",
+        extra=[f"pr AS (SELECT post_id, {sql_training_example('text', model=PHI3)} AS prompt FROM posts)",
+               r"tok AS (SELECT post_id, regexp_extract_all(prompt, '[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]') "
+               "AS tokens FROM pr)"]
+        + _sql_vocab_ids("tok", 5000)
+        + [f"""tm AS (SELECT list(coalesce(v.id, 1) ORDER BY t.i) AS tids FROM (
+                 SELECT unnest({tmpl}) AS token, unnest(range(5)) AS i) t LEFT JOIN vocab v USING (token))""",
+           """lab AS (SELECT post_id, ids, list_max(list_filter(range(1, greatest(len(ids) - 4, 1) + 1),
+                                                     lambda i: ids[i:i + 4] = tids)) AS last
+                      FROM ids, tm)"""])
+
+
+@register("d11_completion_mask", sql=_sql_d11())
 def d11_completion_mask(spark, sf):
     """Completion-only labels on encoded training prompts (ids up to the
     end of the last response marker set to -100)."""
@@ -152,8 +172,8 @@ def d11_completion_mask(spark, sf):
     m = {r["token"]: r["id"] for r in vocab.where(F.col("token").isin(tmpl_tokens)).collect()}
     tmpl_ids = [m.get(t, en.UNK_ID) for t in tmpl_tokens]
     lab = en.completion_only_labels("ids", tmpl_ids)
-    return ids.select("post_id", F.size("ids").alias("n_ids"),
-                      F.size(F.filter(lab, lambda x: x != en.IGNORE_INDEX)).alias("n_target"),
+    return ids.select("post_id", F.size("ids").cast("int").alias("n_ids"),
+                      F.size(F.filter(lab, lambda x: x != en.IGNORE_INDEX)).cast("int").alias("n_target"),
                       F.array_join(F.transform(lab, lambda x: x.cast("string")), " ").alias("labels"))
 
 
