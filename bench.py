@@ -20,6 +20,7 @@ from postlytics.session import local_session  # noqa: E402
 
 HEADLINE = [
     "c8_remove_stopwords",
+    "c10_preprocess",
     "d3_tfidf",
     "d3_top_terms_per_label",
     "d4_transform_unseen",
@@ -31,6 +32,7 @@ HEADLINE = [
     "a8_dedupe_metrics",
     "a9_best_checkpoint",
     "p8_few_shot_sweep",
+    "d5_embed_posts",
     "d7_mean_tag_embedding",
     "f3_compute_similarity",
     "h0_cooccurrence_graph",
