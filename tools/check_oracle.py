@@ -45,7 +45,14 @@ def rows_of(cols, records):
 def main():
     sf = sys.argv[1] if len(sys.argv) > 1 and os.path.isdir(sys.argv[1]) else "/root/testdata/sf0.01"
     prefixes = [a for a in sys.argv[1:] if not os.path.isdir(a)]
-    spark = local_session(8)
+    if os.environ.get("PLAIN_SESSION"):
+        # a session as a caller might build it: no tuning, default time zone
+        from pyspark.sql import SparkSession
+        spark = (SparkSession.builder.master("local[8]")
+                 .config("spark.sql.shuffle.partitions", "8").getOrCreate())
+        spark.sparkContext.setLogLevel("ERROR")
+    else:
+        spark = local_session(8)
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
