@@ -19,6 +19,8 @@ def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = local_session(8, 8)
     print(f"# Physical plans of the registered queries ({sf})\n")
+    print("Counted on the executed AQE plans (final plans; cached sub-plans are printed inside")
+    print("their scans, so the scan count is an upper bound). `python` = Arrow-batched Python nodes.\n")
     print("| query | scans | pushed filters | shuffles | broadcast joins | sort-merge joins | python |")
     print("| --- | --- | --- | --- | --- | --- | --- |")
     for name, q in load_all().items():
@@ -30,6 +32,8 @@ def main():
         except ValueError:
             continue
         plan = df._jdf.queryExecution().executedPlan().toString()
+        # keep the final AQE plans only (the initial ones are printed too)
+        plan = "\n".join(part.split("== Initial Plan ==")[0] for part in plan.split("== Final Plan =="))
         scans = len(re.findall(r"FileScan parquet", plan))
         pushed = sorted(set(re.findall(r"PushedFilters: \[([^\]]*)\]", plan)) - {""})
         shuffles = len(re.findall(r"Exchange hashpartitioning|Exchange rangepartitioning|Exchange SinglePartition", plan))
