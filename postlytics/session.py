@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,7 +67,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path under the checkpoint folder for written intermediate tables."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, "tables", name)
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per session.
+
+    Python functions of the operators are pickled by reference, so every
+    worker must be able to import the package; on a cluster it is not
+    installed there.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_postlytics_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="postlytics-ship-")
+    archive = shutil.make_archive(os.path.join(folder, "postlytics"), "zip",
+                                  os.path.dirname(root), os.path.basename(root))
+    sc.addPyFile(archive)
+    sc._postlytics_shipped = True
