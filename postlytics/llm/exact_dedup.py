@@ -56,7 +56,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keyed = rows.withColumns({
         "head": head, "size": F.octet_length("raw"),
         "salt": F.when(sig.isin(heavy), salt).otherwise(-1) if heavy else F.lit(-1)})
-    key = ["head", "size", "salt"]
+    # a constant in the key would be folded away and cost the window a second shuffle
+    key = ["head", "size", "salt"] if heavy else ["head", "size"]
     ranged = (keyed.repartitionByRange(partitions, *key) if partitions
               else keyed.repartitionByRange(*key))
     same = Window.partitionBy(*key, "norm")
