@@ -8,5 +8,5 @@ from postlytics.llm.common import QUERIES, LlmQuery
 def load_llm() -> dict[str, LlmQuery]:
     # importing the modules registers their queries
     from postlytics.llm import (  # noqa: F401
-        exact_dedup, token_output)
+        bpe, exact_dedup, token_output)
     return QUERIES
