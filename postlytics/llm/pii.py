@@ -212,7 +212,7 @@ def replacements(found: DataFrame, key: str) -> DataFrame:
     """Distinct candidates (column entity) -> (entity, replacement) of the real entities."""
     typed = (found.select("entity").distinct().withColumn("type", kind_of(F.col("entity")))
              .filter("type IS NOT NULL"))
-    parts = stored(typed.select("entity", "type", F.posexplode(units(F.col("type"), F.col("entity"))).alias("i", "unit"))
+    parts = stored(typed.select("entity", "type", F.posexplode_outer(units(F.col("type"), F.col("entity"))).alias("i", "unit"))
                    .select("entity", "type", "i", "unit.kind", "unit.norm"))
     new = unit_surrogates(stored(parts.select("kind", "norm").distinct()), key)
     words = F.transform(F.array_sort(F.collect_list(F.struct("i", "surrogate"))), lambda x: x.surrogate)
