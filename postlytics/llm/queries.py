@@ -8,5 +8,5 @@ from postlytics.llm.common import QUERIES, LlmQuery
 def load_llm() -> dict[str, LlmQuery]:
     # importing the modules registers their queries
     from postlytics.llm import (  # noqa: F401
-        bpe, exact_dedup, line_dedup, packing, pii, quality, simhash, token_output, topk)
+        bpe, exact_dedup, line_dedup, packing, pii, quality, simhash, suffix_dedup, token_output, topk)
     return QUERIES
