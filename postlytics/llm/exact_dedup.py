@@ -32,6 +32,49 @@ def _heavy_signatures(docs: DataFrame, sig: Column) -> list[int]:
     return [r.sig for r in counts.filter(F.col("n") > bar).select("sig").collect()]
 
 
+def keep_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+               keep: str = "largest", partitions: int | None = None) -> DataFrame:
+    """``docs`` with one row of each group of equal texts, all its columns as they are.
+
+    The same sort as ``exact_groups``; the columns travel with the text, so there is no join.
+    """
+    cols = docs.columns
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("raw"),
+                       F.struct(*[F.col(c) for c in cols if c != text_col],
+                                F.col(text_col).isNull().alias("_none")).alias("rest"))
+    heavy, key, ranged = _ranged(rows, partitions)
+    best_first = F.col("id").desc_nulls_last() if keep == "largest" else F.col("id").asc_nulls_last()
+
+    def first_of(df, *parts):
+        w = Window.partitionBy(*parts, "norm").orderBy(best_first)
+        return df.withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
+    kept = first_of(ranged.withColumn("norm", fold_az(F.col("raw"))), *key)
+    if heavy:
+        kept = stored(kept)
+        again = first_of(kept.filter("salt >= 0").repartitionByRange("head", "size", "norm"),
+                         "head", "size")
+        kept = kept.filter("salt < 0").unionByName(again)
+    return kept.select(*[
+        F.when(~F.col("rest._none"), F.col("raw")).alias(c) if c == text_col
+        else F.col("rest")[c].alias(c) for c in cols])
+
+
+def _ranged(rows: DataFrame, partitions: int | None):
+    """(heavy signatures, range key, rows range-partitioned by it) of rows (id, raw, ...)."""
+    head = fold_az(F.substring("raw", 1, PREFIX))
+    sig = F.xxhash64(head, F.octet_length("raw"))
+    heavy = _heavy_signatures(rows, sig)
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
+    keyed = rows.withColumns({
+        "head": head, "size": F.octet_length("raw"),
+        "salt": F.when(sig.isin(heavy), salt).otherwise(-1) if heavy else F.lit(-1)})
+    # a constant in the key would be folded away and cost the window a second shuffle
+    key = ["head", "size", "salt"] if heavy else ["head", "size"]
+    ranged = (keyed.repartitionByRange(partitions, *key) if partitions
+              else keyed.repartitionByRange(*key))
+    return heavy, key, ranged
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  keep: str = "largest", partitions: int | None = None) -> DataFrame:
     """One row per row of ``docs``: its id, ``keep_id``, ``group_size``, ``kept`` and
@@ -44,22 +87,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     if keep not in ("largest", "smallest"):
         raise ValueError("keep is 'largest' or 'smallest'")
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"),
                        F.coalesce(F.col(text_col), F.lit("")).alias("raw"))
-    head = fold_az(F.substring("raw", 1, PREFIX))
-    sig = F.xxhash64(head, F.octet_length("raw"))
-    heavy = _heavy_signatures(rows, sig)
+    heavy, key, ranged = _ranged(rows, partitions)
     best_first = F.col("id").desc_nulls_last() if keep == "largest" else F.col("id").asc_nulls_last()
     best = F.max if keep == "largest" else F.min
-    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
-    keyed = rows.withColumns({
-        "head": head, "size": F.octet_length("raw"),
-        "salt": F.when(sig.isin(heavy), salt).otherwise(-1) if heavy else F.lit(-1)})
-    # a constant in the key would be folded away and cost the window a second shuffle
-    key = ["head", "size", "salt"] if heavy else ["head", "size"]
-    ranged = (keyed.repartitionByRange(partitions, *key) if partitions
-              else keyed.repartitionByRange(*key))
     same = Window.partitionBy(*key, "norm")
     out = (ranged.withColumn("norm", fold_az(F.col("raw"))).drop("raw")
            .withColumns({"rn": F.row_number().over(same.orderBy(best_first)),

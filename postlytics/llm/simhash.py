@@ -26,7 +26,7 @@ SHINGLE = 4
 MAX_BITS = 4
 BANDS = 4
 SAMPLE = 20_000       # fingerprints that the routing trees are fitted on
-SHARD_ROWS = 50_000   # fingerprints aimed at in a shard
+SHARD_ROWS = 8_000    # fingerprints aimed at in a shard
 LEAF = 512            # fingerprints compared all with all
 SEED = 42
 STEP = 1 << 16        # shingles whose bits are counted at a time
@@ -233,7 +233,7 @@ def link_edges(fps: DataFrame, r: int = MAX_BITS, bands: int = BANDS,
 
 
 def near_groups(docs: DataFrame, words: int = SHINGLE, max_bits: int = MAX_BITS,
-                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                id_col: str = "doc_id", text_col: str = "text", with_hash: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id
     (smallest doc_id reachable over links of at most ``max_bits`` bits), kept.
 
@@ -256,7 +256,17 @@ def near_groups(docs: DataFrame, words: int = SHINGLE, max_bits: int = MAX_BITS,
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.col("who.doc_id").alias("component_id"),
         (F.col("doc_id").eqNullSafe(F.col("who.doc_id")) & (F.col("h") == F.col("who.h")))
-        .alias("kept"))
+        .alias("kept"), *(["h"] if with_hash else []))
+
+
+def keep_near(docs: DataFrame, words: int = SHINGLE, max_bits: int = MAX_BITS,
+              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that ``near_groups`` does not keep; all columns stay."""
+    gone = (near_groups(docs, words, max_bits, id_col, text_col, with_hash=True)
+            .filter(~F.col("kept")).select("doc_id", "h").distinct().alias("g"))
+    rows = docs.withColumn("_h", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).alias("d")
+    return rows.join(gone, F.col(f"d.{id_col}").eqNullSafe(F.col("g.doc_id"))
+                     & (F.col("d._h") == F.col("g.h")), "left_anti").select(*docs.columns)
 
 
 @register("op3_simhash_near_dedup")
