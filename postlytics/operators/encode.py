@@ -1,18 +1,20 @@
 """Training-data preparation (D10-D13): word-level encoding, masks, packing,
 length grouping.
 
-The vocabulary is built by Spark (``groupBy(token).count()`` then a top-V
-cut); ids are given by ranking only those V rows. Encoding joins the
-exploded tokens to the vocabulary (no vocabulary-sized literal map: Spark
-map lookups are linear), and rebuilds each row's id list from its own
-tokens only.
+The vocabulary is built by Spark (``groupBy(token).count()``, whole unless
+a size is asked for); ids are global ranks from a range-partitioned sort.
+Encoding joins the exploded tokens to the vocabulary (no vocabulary-sized
+literal map: Spark map lookups are linear), and rebuilds each row's id list
+from its own tokens only. The most frequent tokens are salted on both sides
+of that join.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from postlytics.session import cut_lineage
 
 # --- fixed values: special token ids ---------------------------------------
 PAD_ID, UNK_ID, CLS_ID, SEP_ID = 0, 1, 2, 3
@@ -20,6 +22,7 @@ FIRST_WORD_ID = 4
 IGNORE_INDEX = -100
 RESPONSE_TEMPLATE = "### Sentiment:"
 PACK_LENGTH = 2048
+HOT_TOKENS, HOT_SALTS = 64, 16  # tokens salted in the vocabulary join, and how often
 # Prompt tokenizer: runs of word characters, or one other non-space character.
 PROMPT_TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
 # ---------------------------------------------------------------------------
@@ -30,14 +33,34 @@ def prompt_tokens(col) -> Column:
     return F.regexp_extract_all(c, F.lit(PROMPT_TOKEN_PATTERN), 0)
 
 
-def build_vocab(tokens_df: DataFrame, tokens_col: str, size: int) -> DataFrame:
-    """``(token, id)`` for the ``size`` most frequent tokens (ties by token)."""
+def global_rank(df: DataFrame, order: list, out_col: str = "rank") -> DataFrame:
+    """``df`` with its 0-based position in the given order (which must be
+    total): a range-partitioned sort, written once, plus the sizes of the
+    partitions before; no single task sees all rows."""
+    ranged = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order)
+                         .withColumn("_m", F.monotonically_increasing_id()))
+    part = F.shiftright("_m", 33)
+    sizes = ranged.groupBy(part.alias("p")).count().collect()  # one row per partition
+    starts, at = [], 0
+    for r in sorted(sizes, key=lambda r: r["p"]):
+        starts += [F.lit(r["p"]), F.lit(at)]
+        at += r["count"]
+    if not starts:
+        return ranged.withColumn(out_col, F.lit(0).cast("long")).drop("_m")
+    base = F.element_at(F.create_map(*starts), part)
+    return (ranged.withColumn(out_col, (base + F.col("_m").bitwiseAND((1 << 33) - 1)).cast("long"))
+            .drop("_m"))
+
+
+def build_vocab(tokens_df: DataFrame, tokens_col: str, size: int | None = None) -> DataFrame:
+    """``(token, id)`` of all tokens, or of the ``size`` most frequent ones (ties by token)."""
     counts = (tokens_df.select(F.explode_outer(tokens_col).alias("token"))
               .where(F.col("token").isNotNull())
               .groupBy("token").agg(F.count(F.lit(1)).alias("n")))
-    top = counts.orderBy(F.col("n").desc(), F.col("token")).limit(size)
-    w = Window.orderBy(F.col("n").desc(), F.col("token"))  # over <= size rows only
-    return top.select("token", (F.row_number().over(w) + (FIRST_WORD_ID - 1)).cast("int").alias("id"))
+    ranked = global_rank(counts, [F.col("n").desc(), F.col("token")])
+    if size is not None:
+        ranked = ranked.where(F.col("rank") < size)
+    return ranked.select("token", (F.col("rank") + FIRST_WORD_ID).cast("int").alias("id"))
 
 
 def token_ids(df: DataFrame, id_col: str, tokens_col: str, vocab: DataFrame,
@@ -45,8 +68,15 @@ def token_ids(df: DataFrame, id_col: str, tokens_col: str, vocab: DataFrame,
     """Map each row's tokens to ids (unknown -> UNK), order kept."""
     ex = (df.select(id_col, F.posexplode_outer(tokens_col).alias("pos", "token"))
           .where(F.col("pos").isNotNull()))
-    voc = vocab.select("token", F.col("id").alias("_vid"))
-    mapped = (ex.join(voc, "token", "left")
+    # ids are frequency ranks: the most frequent tokens meet under HOT_SALTS sub-keys
+    voc = vocab.select("token", F.col("id").alias("_vid"), F.explode(F.when(
+        F.col("id") < FIRST_WORD_ID + HOT_TOKENS, F.sequence(F.lit(0), F.lit(HOT_SALTS - 1)))
+        .otherwise(F.array(F.lit(0)))).alias("_salt"))
+    hot = [r["token"] for r in vocab.where(F.col("id") < FIRST_WORD_ID + HOT_TOKENS)
+           .select("token").collect()]  # at most HOT_TOKENS
+    salt = F.when(F.col("token").isin(hot), F.pmod(F.xxhash64(id_col, "pos"), F.lit(HOT_SALTS))
+                  .cast("int")).otherwise(0) if hot else F.lit(0)
+    mapped = (ex.withColumn("_salt", salt).join(voc, ["token", "_salt"], "left")
               .select(id_col, "pos", F.coalesce(F.col("_vid"), F.lit(UNK_ID)).alias("_vid")))
     lists = (mapped.groupBy(id_col)
              .agg(F.sort_array(F.collect_list(F.struct("pos", "_vid"))).alias("_p"))
@@ -103,7 +133,7 @@ def prefix_sum(df: DataFrame, order_col: str, value_col: str, out_col: str = "of
     bounds = sorted(set(df.approxQuantile(order_col, qs, 0.0001))) if buckets > 1 else []
     b = F.lit(0)
     if bounds:
-        # bucket = number of bounds <= value (binary search over a sorted literal array)
+        # bucket = number of bounds <= value
         arr = F.array(*[F.lit(float(x)) for x in bounds])
         v = F.col(order_col).cast("double")
         b = F.size(F.filter(arr, lambda x: x <= v))
@@ -129,7 +159,7 @@ def pack(df: DataFrame, id_col: str, length_col: str, block: int = PACK_LENGTH,
     n_tokens)``; an example crossing a block border yields two or more pieces.
     """
     ln = (F.col(length_col) + (1 if eos else 0)).cast("long")
-    with_len = df.select(id_col, ln.alias("_len"))
+    with_len = cut_lineage(df.select(id_col, ln.alias("_len")))  # lengths are computed once
     placed = prefix_sum(with_len, id_col, "_len", "_off")
     total = with_len.agg(F.sum("_len")).first()[0] or 0
     n_blocks = total // block
@@ -145,29 +175,10 @@ def pack(df: DataFrame, id_col: str, length_col: str, block: int = PACK_LENGTH,
                     (end - start).cast("long").alias("n_tokens")))
 
 
-def group_by_length(df: DataFrame, length_col: str, batch_size: int,
-                    shards: int | None = None) -> DataFrame:
-    """Batches of examples of like length.
-
-    Range-partitions by length, sorts each shard, and cuts consecutive
-    rows into batches of ``batch_size``; ``batch_id`` is unique across
-    shards. Rows of the same length may land in adjacent shards.
-    """
-    n = shards or df.sparkSession.sparkContext.defaultParallelism
-    # the hash tie-breaker lets one very common length spread over shards
-    tie = F.xxhash64(*[F.col(c) for c in df.columns])
-    ranged = (df.withColumn("_tie", tie).repartitionByRange(n, length_col, "_tie")
-              .sortWithinPartitions(length_col, "_tie").drop("_tie"))
-    schema = T.StructType(df.schema.fields + [T.StructField("batch_id", T.LongType())])
-
-    def cut(it):
-        import numpy as np
-        from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
-        seen = 0
-        for pdf in it:  # streamed: never the whole shard in memory
-            idx = np.arange(seen, seen + len(pdf), dtype="int64")
-            seen += len(pdf)
-            yield pdf.assign(batch_id=pid * (1 << 32) + idx // batch_size)
-
-    return ranged.mapInPandas(cut, schema)
+def group_by_length(df: DataFrame, id_col: str, length_col: str, batch_size: int) -> DataFrame:
+    """Batches of examples of like length: ``batch_id`` is the global
+    rank by ``(length, id)`` divided by ``batch_size``, so that only the last
+    batch may be short, whatever the number of cores."""
+    ranked = global_rank(df, [F.col(length_col), F.col(id_col)], "_rank")
+    return (ranked.withColumn("batch_id", F.floor(F.col("_rank") / batch_size).cast("long"))
+            .drop("_rank"))

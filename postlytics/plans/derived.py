@@ -6,7 +6,8 @@ for the DuckDB oracle:
 
 * ``posts``: labelled documents; ``label = quality + toxic`` (0/1/2) and a
   ``split`` from the md5 of the id (80 % train, 10 % validation, 10 % test).
-* ``tags``: English documents with their derived hashtags: ``'#' +
+* ``texts``: every document as ``(post_id, text)``, labelled or not.
+* ``tags``: all documents with their derived hashtags: ``'#' +
   lower(word)`` for ASCII words of 12+ letters, in text order.
 * ``predictions``: a model-output text per labelled post (right, wrong or
   unparseable by an md5 rule) and its parsed label.
@@ -51,8 +52,11 @@ def posts(spark: SparkSession, sf: str) -> DataFrame:
 
 def tags(spark: SparkSession, sf: str) -> DataFrame:
     docs = read_table(spark, sf, "documents")
-    return (docs.where(F.col("lang") == "en")
-            .select(F.col("doc_id").alias("post_id"), tx.long_word_tags("text").alias("tags")))
+    return docs.select(F.col("doc_id").alias("post_id"), tx.long_word_tags("text").alias("tags"))
+
+
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    return read_table(spark, sf, "documents").select(F.col("doc_id").alias("post_id"), "text")
 
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
@@ -125,7 +129,8 @@ SQL_CTES = {
          list_transform(list_filter(regexp_extract_all(text, '[\p{L}\p{N}_]+'),
                                     lambda w: regexp_full_match(w, '[A-Za-z]{12,}')),
                         lambda w: '#' || lower(w)) AS tags
-  FROM documents WHERE lang = 'en')""",
+  FROM documents)""",
+    "texts": "texts AS (SELECT doc_id AS post_id, text FROM documents)",
     "predictions": """predictions AS (
   SELECT post_id, split, y_true, raw, {parse} AS y_pred FROM (
     SELECT post_id, split, label AS y_true,

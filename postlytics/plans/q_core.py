@@ -156,11 +156,11 @@ def b2_batch_map(spark, sf):
 
 
 @register("b3_apply_preprocess", sql=with_ctes(
-    ["posts"],
-    f"SELECT post_id, array_to_string({sql_preprocess_tokens('text')}, ' ') AS preprocessed_text FROM posts"))
+    ["texts"],
+    f"SELECT post_id, array_to_string({sql_preprocess_tokens('text')}, ' ') AS preprocessed_text FROM texts"))
 def b3_apply_preprocess(spark, sf):
     """Column apply of the classical preparation (C1, C7, C8 joined by spaces)."""
-    p = dv.posts(spark, sf)
+    p = dv.texts(spark, sf)
     return p.select("post_id", F.array_join(tx.preprocess_tokens("text"), " ")
                     .alias("preprocessed_text"))
 
@@ -230,12 +230,12 @@ def b11_exclude_chosen(spark, sf):
 
 
 @register("b12_max_encoded_length", sql=with_ctes(
-    ["posts"],
+    ["texts"],
     f"SELECT CAST(least(max(len({sql_tokenize(SQL_CLEAN.format(x='text'))})), 512) AS BIGINT) "
-    "AS max_length FROM posts"))
+    "AS max_length FROM texts"))
 def b12_max_encoded_length(spark, sf):
     """Longest token list, capped at the model maximum (512)."""
-    p = dv.posts(spark, sf).select(tx.tokenize(tx.clean_text("text")).alias("tokens"))
+    p = dv.texts(spark, sf).select(tx.tokenize(tx.clean_text("text")).alias("tokens"))
     return fr.max_length(p, "tokens", model_max=512)
 
 

@@ -10,7 +10,7 @@ from postlytics.operators import features as ft
 from postlytics.operators import frames as fr
 from postlytics.plans import derived as dv
 from postlytics.plans.derived import with_ctes
-from postlytics.plans.q_core import _r, sql_preprocess_tokens
+from postlytics.plans.q_core import SQL_CLEAN, _r, sql_preprocess_tokens, sql_tokenize
 from postlytics.plans.registry import register
 from postlytics.sources import io
 
@@ -33,11 +33,11 @@ def _sql_tfidf(src: str, name: str = "w") -> list[str]:
 
 
 @register("d1_extract_count", sql=with_ctes(
-    ["posts"], f"""SELECT post_id, term, CAST(count(*) AS BIGINT) AS tf FROM (
-        SELECT post_id, unnest({SQL_WORDS.format(x='text')}) AS term FROM posts) GROUP BY ALL"""))
+    ["texts"], f"""SELECT post_id, term, CAST(count(*) AS BIGINT) AS tf FROM (
+        SELECT post_id, unnest({SQL_WORDS.format(x='text')}) AS term FROM texts) GROUP BY ALL"""))
 def d1_extract_count(spark, sf):
     """D1 with method='count': the count features through the dispatcher."""
-    feats, _ = ft.extract_features(dv.posts(spark, sf), method="count")
+    feats, _ = ft.extract_features(dv.texts(spark, sf), method="count")
     return feats
 
 
@@ -50,11 +50,11 @@ def d2_term_counts(spark, sf):
 
 
 @register("d3_tfidf", sql=with_ctes(
-    ["posts"], "SELECT post_id, term, round(tfidf, 6) AS tfidf FROM w",
-    extra=_sql_tfidf("posts")))
+    ["texts"], "SELECT post_id, term, round(tfidf, 6) AS tfidf FROM w",
+    extra=_sql_tfidf("texts")))
 def d3_tfidf(spark, sf):
-    """D3: smoothed, L2-normalised TF-IDF of the labelled posts (long form)."""
-    w, _ = ft.tfidf(dv.posts(spark, sf).select("post_id", "text"))
+    """D3: smoothed, L2-normalised TF-IDF of all documents (long form)."""
+    w, _ = ft.tfidf(dv.texts(spark, sf))
     return w.select("post_id", "term", _r(F.col("tfidf"), "tfidf"))
 
 
@@ -95,16 +95,15 @@ def d4_transform_unseen(spark, sf):
 
 
 # --- D10-D13 -----------------------------------------------------------------
-VOCAB = 1000
-MAX_LEN = 64
+MAX_LEN = 512  # the encoder's maximum, as in B12
 
 
-def _sql_vocab_ids(tok_cte: str, size: int) -> list[str]:
+def _sql_vocab_ids(tok_cte: str) -> list[str]:
     """CTEs vocab(token, id) and ids(post_id, ids) over ``tok_cte(post_id, tokens)``."""
     return [
         f"ex AS (SELECT post_id, unnest(tokens) AS token, unnest(range(1, len(tokens) + 1)) AS pos FROM {tok_cte})",
-        f"""vocab AS (SELECT token, CAST(row_number() OVER (ORDER BY n DESC, token) + 3 AS INTEGER) AS id
-                      FROM (SELECT token, count(*) AS n FROM ex GROUP BY token) ORDER BY n DESC, token LIMIT {size})""",
+        """vocab AS (SELECT token, CAST(row_number() OVER (ORDER BY n DESC, token) + 3 AS INTEGER) AS id
+                      FROM (SELECT token, count(*) AS n FROM ex GROUP BY token))""",
         f"""idl AS (SELECT post_id, list(coalesce(v.id, 1) ORDER BY pos) AS ids FROM ex LEFT JOIN vocab v USING (token)
                     GROUP BY post_id)""",
         f"""ids AS (SELECT t.post_id, coalesce(i.ids, []::INTEGER[]) AS ids FROM {tok_cte} t
@@ -113,18 +112,18 @@ def _sql_vocab_ids(tok_cte: str, size: int) -> list[str]:
 
 
 @register("d10_encode", sql=with_ctes(
-    ["posts"],
+    ["texts"],
     f"""SELECT post_id,
           array_to_string(s || list_transform(range({MAX_LEN} - len(s)), lambda x: 0), ' ') AS input_ids,
           array_to_string(list_transform(range(len(s)), lambda x: 1)
                           || list_transform(range({MAX_LEN} - len(s)), lambda x: 0), ' ') AS attention_mask
         FROM (SELECT post_id, [2] || ids[1:{MAX_LEN - 2}] || [3] AS s FROM ids)""",
-    extra=[f"tok AS (SELECT post_id, {sql_preprocess_tokens('text')} AS tokens FROM posts)"]
-    + _sql_vocab_ids("tok", VOCAB)))
+    extra=[f"tok AS (SELECT post_id, {sql_preprocess_tokens('text')} AS tokens FROM texts)"]
+    + _sql_vocab_ids("tok")))
 def d10_encode(spark, sf):
-    """Word vocabulary (top 1000) -> ids -> [CLS] ids [SEP], truncated/padded to 64."""
-    p = dv.posts(spark, sf).select("post_id", tx.preprocess_tokens("text").alias("tokens"))
-    vocab = en.build_vocab(p, "tokens", VOCAB)
+    """Whole word vocabulary -> ids -> [CLS] ids [SEP], truncated/padded to 512."""
+    p = dv.texts(spark, sf).select("post_id", tx.preprocess_tokens("text").alias("tokens"))
+    vocab = en.build_vocab(p, "tokens")
     enc = en.encode(p, "post_id", "tokens", vocab, MAX_LEN)
     return enc.select("post_id", F.array_join(F.transform("input_ids", lambda x: x.cast("string")), " ")
                       .alias("input_ids"),
@@ -132,6 +131,18 @@ def d10_encode(spark, sf):
                       .alias("attention_mask"))
 
 
+@register("d10_token_ids", sql=with_ctes(
+    ["texts"], "SELECT post_id, array_to_string(ids, ' ') AS ids FROM ids",
+    extra=[f"tok AS (SELECT post_id, {sql_preprocess_tokens('text')} AS tokens FROM texts)"]
+    + _sql_vocab_ids("tok")))
+def d10_token_ids(spark, sf):
+    """D10 before cutting and padding: the ids of every token of all documents."""
+    p = dv.texts(spark, sf).select("post_id", tx.preprocess_tokens("text").alias("tokens"))
+    ids = en.token_ids(p, "post_id", "tokens", en.build_vocab(p, "tokens"))
+    return ids.select("post_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), " ")
+                      .alias("ids"))
+
+
 def _training_prompt_sql(x: str) -> str:
     from postlytics.plans.q_prompts import sql_training_example
     return sql_training_example(x)
@@ -149,7 +160,7 @@ def _sql_d11() -> str:
         extra=[f"pr AS (SELECT post_id, {sql_training_example('text', model=PHI3)} AS prompt FROM posts)",
                r"tok AS (SELECT post_id, regexp_extract_all(prompt, '[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]') "
                "AS tokens FROM pr)"]
-        + _sql_vocab_ids("tok", 5000)
+        + _sql_vocab_ids("tok")
         + [f"""tm AS (SELECT list(coalesce(v.id, 1) ORDER BY t.i) AS tids FROM (
                  SELECT unnest({tmpl}) AS token, unnest(range(5)) AS i) t LEFT JOIN vocab v USING (token))""",
            """lab AS (SELECT post_id, ids, list_max(list_filter(range(1, greatest(len(ids) - 4, 1) + 1),
@@ -165,7 +176,7 @@ def d11_completion_mask(spark, sf):
     p = dv.posts(spark, sf)
     ex = p.select("post_id", pr.training_example(pr.MODELS[0], "text", "label").alias("prompt"))
     toks = ex.select("post_id", en.prompt_tokens("prompt").alias("tokens"))
-    vocab = en.build_vocab(toks, "tokens", 5000).cache()
+    vocab = en.build_vocab(toks, "tokens")
     ids = en.token_ids(toks, "post_id", "tokens", vocab)
     tmpl_tokens = [r[0] for r in spark.range(1).select(
         F.explode(en.prompt_tokens(F.lit(en.RESPONSE_TEMPLATE)))).collect()]
@@ -178,29 +189,31 @@ def d11_completion_mask(spark, sf):
 
 
 @register("d12_pack", sql=with_ctes(
-    ["posts"],
+    ["texts"],
     """SELECT post_id, CAST(b AS BIGINT) AS block_id,
               CAST(greatest(o, b * 2048) - b * 2048 AS BIGINT) AS start,
               CAST(least(o + l, (b + 1) * 2048) - greatest(o, b * 2048) AS BIGINT) AS n_tokens
        FROM (SELECT post_id, o, l, unnest(range(CAST(o // 2048 AS BIGINT), CAST((o + l - 1) // 2048 + 1 AS BIGINT))) AS b
              FROM off WHERE l > 0), tot WHERE b < nb""",
-    extra=[f"lens AS (SELECT post_id, len({sql_preprocess_tokens('text')}) + 1 AS l FROM posts)",
+    extra=[f"lens AS (SELECT post_id, len({sql_preprocess_tokens('text')}) + 1 AS l FROM texts)",
            """off AS (SELECT post_id, l, coalesce(sum(l) OVER (ORDER BY post_id
                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM lens)""",
            "tot AS (SELECT sum(l) // 2048 AS nb FROM lens)"]))
 def d12_pack(spark, sf):
-    """Pack the token streams of all posts (id order, end token between
+    """Pack the token streams of all documents (id order, end token between
     examples) into 2048-token blocks; the last short block is dropped."""
-    p = dv.posts(spark, sf).select("post_id", F.size(tx.preprocess_tokens("text")).alias("n"))
+    p = dv.texts(spark, sf).select("post_id", F.size(tx.preprocess_tokens("text")).alias("n"))
     return en.pack(p, "post_id", "n", 2048)
 
 
-@register("d13_group_by_length")
+@register("d13_group_by_length", sql=f"""SELECT doc_id, length, CAST(
+    (row_number() OVER (ORDER BY length, doc_id) - 1) // 8 AS BIGINT) AS batch_id FROM (
+    SELECT doc_id, CAST(len({sql_tokenize(SQL_CLEAN.format(x='text'))}) AS INTEGER) AS length FROM documents)""")
 def d13_group_by_length(spark, sf):
     """Batches of 8 documents of like token length."""
     d = io.read_table(spark, sf, "documents").select(
         "doc_id", F.size(tx.tokenize(tx.clean_text("text"))).alias("length"))
-    return en.group_by_length(d, "length", 8)
+    return en.group_by_length(d, "doc_id", "length", 8)
 
 
 # --- C14 ---------------------------------------------------------------------
@@ -244,6 +257,6 @@ def c9_stem_vocabulary(spark, sf):
 
 @register("c10_preprocess")
 def c10_preprocess(spark, sf):
-    """The classical preparation (clean, tokenize, stop words, stem) of all posts."""
+    """The classical preparation (clean, tokenize, stop words, stem) of all documents."""
     from postlytics.operators import stem as st
-    return st.preprocess(dv.posts(spark, sf), "post_id", "text")
+    return st.preprocess(dv.texts(spark, sf), "post_id", "text")

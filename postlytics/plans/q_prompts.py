@@ -85,12 +85,12 @@ def p1_zero_shot_prompt(spark, sf):
 
 
 @register("p2_model_prompt", sql=with_ctes(
-    ["posts"], f"""SELECT post_id, {sql_model_prompt(PHI3, 'text')} AS phi3,
+    ["texts"], f"""SELECT post_id, {sql_model_prompt(PHI3, 'text')} AS phi3,
         {sql_model_prompt(MISTRAL, 'text')} AS mistral, {sql_model_prompt('unknown/model', 'text')} AS other
-        FROM posts"""))
+        FROM texts"""))
 def p2_model_prompt(spark, sf):
     """Chat wrappers of both models and of an unknown model (bare prompt)."""
-    p = dv.posts(spark, sf)
+    p = dv.texts(spark, sf)
     return p.select("post_id", pr.model_prompt(PHI3, "text").alias("phi3"),
                     pr.model_prompt(MISTRAL, "text").alias("mistral"),
                     pr.model_prompt("unknown/model", "text").alias("other"))

@@ -52,12 +52,15 @@ def numpy_hashed_embedder(dim: int = 64, n: int = 3):
 
 
 @register("d5_embed_posts", sql=with_ctes(
-    ["posts"], "SELECT post_id, CAST(dim AS INTEGER) AS dim, round(v, 6) AS value FROM ("
-               "SELECT post_id, unnest(e) AS v, unnest(range(len(e))) AS dim FROM pe)",
-    extra=EMB.sql_ctes("pe", "posts", "post_id", "text")))
+    ["texts"], f"""SELECT t.post_id, CAST(d.dim AS INTEGER) AS dim, round(coalesce(c.n, 0) / nr, 6) AS value
+        FROM texts t JOIN nr USING (post_id) CROSS JOIN (SELECT unnest(range({EMB.dim})) AS dim) d
+        LEFT JOIN c ON c.post_id = t.post_id AND c.b = d.dim""",
+    extra=[f"g AS (SELECT post_id, unnest({EMB.sql_buckets('text')}) AS b FROM texts)",
+           "c AS (SELECT post_id, b, count(*) AS n FROM g GROUP BY ALL)",
+           "nr AS (SELECT post_id, sqrt(sum(n * n)) AS nr FROM c GROUP BY post_id)"]))
 def d5_embed_posts(spark, sf):
-    """Hashed character-trigram embeddings of whole post texts (long form)."""
-    p = dv.posts(spark, sf).select("post_id", "text")
+    """Hashed character-trigram embeddings of all whole texts (long form)."""
+    p = dv.texts(spark, sf)
     return _long(em.embed_column(p, "text", EMB, keep=["post_id"]), ["post_id"], "embedding")
 
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlytics.sources.runlog import EVAL_PREFIX, _relative_parts
+from postlytics.sources.runlog import EVAL_PREFIX, parse_metrics
 
 
 def metric_stream(spark: SparkSession, root: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -21,18 +21,7 @@ def metric_stream(spark: SparkSession, root: str, max_files_per_trigger: int | N
     reader = spark.readStream.format("text").option("recursiveFileLookup", "true")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    lines = reader.load(root).select("value", F.col("_metadata.file_path").alias("_path"))
-    parts = _relative_parts(root)
-    lines = lines.withColumn("_parts", parts)
-    fields = F.split(F.trim("value"), " ")
-    return (lines.where((F.element_at("_parts", 3) == "metrics") & (F.size("_parts") >= 4)
-                        & (F.trim("value") != ""))
-            .select(F.element_at("_parts", 1).alias("experiment"),
-                    F.element_at("_parts", 2).alias("run_id"),
-                    F.array_join(F.slice("_parts", 4, 1000), "/").alias("metric"),
-                    F.timestamp_millis(F.element_at(fields, 1).cast("long")).alias("ts"),
-                    F.element_at(fields, 2).cast("double").alias("value"),
-                    F.element_at(fields, 3).cast("long").alias("step")))
+    return parse_metrics(reader.load(root), root)
 
 
 def dedupe_stream(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -53,12 +42,15 @@ def best_step_stream(stream: DataFrame, maximize: bool = True) -> DataFrame:
                     F.col("_b.v").alias("best_value")))
 
 
-def start_best_step(spark: SparkSession, root: str, checkpoint: str, table: str = "best_steps",
+def start_best_step(spark: SparkSession, root: str, checkpoint: str, out: str,
                     available_now: bool = False):
-    """Run :func:`best_step_stream` into an in-memory table (``complete``
-    mode); ``checkpoint`` must be a reliable (shared) folder."""
+    """Run :func:`best_step_stream` into the Parquet folder ``out``, written anew by every
+    trigger (one row per run and metric); ``checkpoint`` must be a reliable (shared) folder."""
+    def write(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(out)
+
     q = (best_step_stream(dedupe_stream(metric_stream(spark, root)))
-         .writeStream.outputMode("complete").format("memory").queryName(table)
+         .writeStream.outputMode("complete").foreachBatch(write)
          .option("checkpointLocation", checkpoint))
     q = q.trigger(availableNow=True) if available_now else q
     return q.start()

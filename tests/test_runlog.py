@@ -20,6 +20,12 @@ def write_tree(root):
         os.makedirs(os.path.dirname(path), exist_ok=True)
         with open(path, "w") as f:
             f.write("".join(f"{a} {b} {c}\n" for a, b, c in obs))
+    # files that are no metrics, as a real tree has them
+    for rel in ("1/meta.yaml", "1/r1/meta.yaml", "1/r1/tags/mlflow.user", "1/r1/artifacts/model/metrics/x"):
+        path = os.path.join(root, *rel.split("/"))
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(path, "w") as f:
+            f.write("name: 1 2 3\n")
     p = os.path.join(root, "1", "r1", "params", "num_train_epochs")
     os.makedirs(os.path.dirname(p), exist_ok=True)
     with open(p, "w") as f:
@@ -27,8 +33,13 @@ def write_tree(root):
 
 
 def test_read_dedupe_best(spark):
-    root = tempfile.mkdtemp(prefix="runlog-")
+    root = tempfile.mkdtemp(prefix="run log+%20-")   # a blank and signs that URIs encode
     write_tree(root)
+    with open(os.path.join(root, "1", "r1", "metrics", "odd"), "w") as f:
+        f.write("\nno number\n")
+    odd = rl.read_metrics(spark, root).where("metric = 'odd'").collect()
+    assert [(r.ts, r.value, r.step) for r in odd] == [(None, None, None)]
+    os.remove(os.path.join(root, "1", "r1", "metrics", "odd"))
     m = rl.read_metrics(spark, root)
     assert m.count() == 8
     assert {r.metric for r in m.collect()} == {"eval_f1", "system/gpu_0_memory", "eval_loss"}
@@ -47,9 +58,10 @@ def test_streaming_best_step(spark):
     root = tempfile.mkdtemp(prefix="runlog-")
     write_tree(root)
     ck = tempfile.mkdtemp(prefix="ck-")
-    q = rs.start_best_step(spark, root, ck, table="best_steps_t", available_now=True)
+    out = os.path.join(tempfile.mkdtemp(prefix="best-"), "t")
+    q = rs.start_best_step(spark, root, ck, out, available_now=True)
     q.awaitTermination(120)
-    got = {(r.run_id, r.metric): r.best_step for r in spark.table("best_steps_t").collect()}
+    got = {(r.run_id, r.metric): r.best_step for r in spark.read.parquet(out).collect()}
     assert got[("r1", "eval_f1")] == 20 and got[("r2", "eval_loss")] == 5
 
 
