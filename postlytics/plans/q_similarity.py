@@ -55,7 +55,13 @@ def numpy_hashed_embedder(dim: int = 64, n: int = 3):
     ["texts"], f"""SELECT t.post_id, CAST(d.dim AS INTEGER) AS dim, round(coalesce(c.n, 0) / nr, 6) AS value
         FROM texts t JOIN nr USING (post_id) CROSS JOIN (SELECT unnest(range({EMB.dim})) AS dim) d
         LEFT JOIN c ON c.post_id = t.post_id AND c.b = d.dim""",
-    extra=[f"g AS (SELECT post_id, unnest({EMB.sql_buckets('text')}) AS b FROM texts)",
+    extra=["s AS (SELECT post_id, ' ' || lower(regexp_replace(text, '^#', '')) || ' ' AS s FROM texts)",
+           """ch AS (SELECT post_id, unnest(string_split(s, '')) AS c,
+                         generate_subscripts(string_split(s, ''), 1) AS i FROM s WHERE length(s) > 2)""",
+           """gr AS (SELECT post_id, s AS gram FROM s WHERE length(s) <= 2 UNION ALL SELECT post_id, gram FROM (
+                  SELECT post_id, c || lead(c, 1) OVER w || lead(c, 2) OVER w AS gram FROM ch
+                  WINDOW w AS (PARTITION BY post_id ORDER BY i)) WHERE gram IS NOT NULL)""",
+           f"g AS (SELECT post_id, ('0x' || substr(md5(gram), 1, 8))::BIGINT % {EMB.dim} AS b FROM gr)",
            "c AS (SELECT post_id, b, count(*) AS n FROM g GROUP BY ALL)",
            "nr AS (SELECT post_id, sqrt(sum(n * n)) AS nr FROM c GROUP BY post_id)"]))
 def d5_embed_posts(spark, sf):
