@@ -87,27 +87,30 @@ def extract_features(df: DataFrame, method: str = "tfidf", id_col: str = "post_i
         from postlytics.operators.embed import HashedNgramEmbedder, embed_column
         emb = embedder or HashedNgramEmbedder()
         return embed_column(df, text_col, emb, keep=[id_col]), emb
-    raise ValueError("Invalid method.")
-
-
-def ml_text_pipeline(text_col: str = "text", features_col: str = "features",
-                     vocab_size: int = 1 << 18, use_idf: bool = True):
-    """D1 (ML form): tokenizer + count vectorizer (+ idf) + L2 normaliser.
-
-    Spark's IDF is ``ln((n + 1) / (df + 1))`` without the ``+ 1`` of the
-    smoothed form, so the long-form :func:`tfidf` is the one to compare
-    with; this pipeline is for model training (J).
-    """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, RegexTokenizer
-
-    stages = [RegexTokenizer(inputCol=text_col, outputCol="_tokens", gaps=False,
-                             pattern=tx.WORD_CHAR + "{2,}", toLowercase=True),
-              CountVectorizer(inputCol="_tokens", outputCol="_tf", vocabSize=vocab_size)]
+    raise ValueError(f"method {method!r}: use 'count', 'tfidf' or 'embedding'")
+
+
+def fit_term_vectors(df: DataFrame, text_col: str = "text", features_col: str = "features",
+                     use_idf: bool = True):
+    """D1 (ML form): tokenizer, counts over the whole vocabulary of ``df``
+    (times the smoothed IDF of :func:`tfidf`), L2 norm, as one fitted model."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer, RegexTokenizer
+    from pyspark.ml.linalg import Vectors
+
+    tokens = RegexTokenizer(inputCol=text_col, outputCol="_tokens", gaps=False,
+                            pattern=tx.WORD_CHAR + "{2,}", toLowercase=True)
+    words = tokens.transform(df)
+    size = words.select(F.explode_outer("_tokens").alias("t")).where("t IS NOT NULL").distinct().count()
+    counts = CountVectorizer(inputCol="_tokens", outputCol="_tf", vocabSize=max(size, 1)).fit(words)
+    stages = [tokens, counts]
     if use_idf:
-        stages.append(IDF(inputCol="_tf", outputCol="_tfidf"))
+        # the engine's IDF lacks the smoothed form's "+ 1"
+        idf = IDF(inputCol="_tf", outputCol="_idf").fit(counts.transform(words)).idf
+        stages.append(ElementwiseProduct(inputCol="_tf", outputCol="_tfidf",
+                                         scalingVec=Vectors.dense([x + 1.0 for x in idf])))
     stages.append(Normalizer(inputCol=stages[-1].getOutputCol(), outputCol=features_col, p=2.0))
-    return Pipeline(stages=stages)
+    return PipelineModel(stages)
 
 
 # --- D8 ----------------------------------------------------------------------

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postlytics.functions import text as tx
+from postlytics.session import ship_package
 
 # --- fixed values ----------------------------------------------------------
 MAX_WORD = 24
@@ -74,6 +75,8 @@ def segment(elements: DataFrame, col: str, counts: DataFrame, out_col: str = "se
              .groupBy("_tag").agg(F.map_from_entries(F.collect_set(F.struct("word", "n"))).alias("_known")))
     cand = tags.join(known, "_tag", "left")
 
+    ship_package(elements.sparkSession)
+
     @F.pandas_udf("string")
     def split(norm: pd.Series, kn: pd.Series) -> pd.Series:
         out = []

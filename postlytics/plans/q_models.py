@@ -77,9 +77,11 @@ def g5_search_within_cluster(spark, sf):
     """Hashtags in the cluster of the most mentioned tag, cosine >= 0.5."""
     from postlytics.operators import graph as gr
     tags = _distinct_tags(spark, sf)
-    out, info = cl.cluster_elements(tags, "tag", EMB, n_clusters=8)
+    words = sg.segmenter(_counts(spark, sf))
+    out, info = cl.cluster_elements(tags, "tag", EMB, n_clusters=8, segmenter=words)
     query = gr.popular_tags(dv.tags(spark, sf), "post_id", "tags", 1).first()["tag"]
-    qv = EMB.embed(spark.createDataFrame([(query,)], "element string")).first()["embedding"]
+    asked = words(spark.createDataFrame([(query,)], "element string"), "element", "segmented")
+    qv = EMB.embed(asked, "segmented").first()["embedding"]
     qs = cl.scale_literal(qv, info["means"], info["stds"])
     hits = cl.search_within_cluster(out.where(F.col("element") != query), qs, info["centres"])
     return hits.select(F.col("element").alias("tag"), "cluster", _r(F.col("similarity"), "similarity"))
@@ -136,11 +138,10 @@ def j5_forest_predict(spark, sf):
 
 
 def j7_experiment_grid(spark, sf):
-    """2 vectorisers x 2 models, tuned, fitted, scored: metrics + seconds
-    (TF-IDF over the 4096 most frequent terms). Not registered: with the
+    """2 vectorisers x 2 models, tuned, fitted, scored: metrics + seconds. Not registered: with the
     reference's forest space (up to 500 trees, depth 30) it runs for
     minutes even at sf0.01; tests/test_models.py runs it on a fixture."""
-    _, mets = md.experiment_grid(dv.posts(spark, sf), trials_per_model=1, vocab_size=4096)
+    _, mets = md.experiment_grid(dv.posts(spark, sf), trials_per_model=1)
     return mets
 
 
