@@ -45,23 +45,26 @@ ENDING = {"m_latin": "o", "f_latin": "a", "m_cyrillic": "ов", "f_cyrillic": "
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 EMAIL = (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
          r"(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}+")
-IP = rf"(?<![0-9.]){OCTET}(?:\.{OCTET}){{3}}(?![0-9]|\.[0-9])"
-CARD = (r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{4}"
+# each pattern looks at its first character before it looks behind, which is dearer
+IP = rf"(?=[0-9])(?<![0-9.]){OCTET}(?:\.{OCTET}){{3}}(?![0-9]|\.[0-9])"
+CARD = (r"(?=[0-9])(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{4}"
         r"|[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z])")
-PHONE = (r"(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])"
+PHONE = (r"(?=\+)(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])"
          r"|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])"
-         r"|(?<![0-9A-Za-z.-])[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}(?![0-9])")
-SSN = r"(?<![0-9A-Za-z-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9A-Za-z-])"
+         r"|(?=[0-9])(?<![0-9A-Za-z.-])[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}(?![0-9])")
+SSN = r"(?=[0-9])(?<![0-9A-Za-z-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9A-Za-z-])"
 SECRET = (r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{16})"
           r"(?<=(?i:token|secret|api_key|apikey|api-key|password|passwd)[\"']?\s{0,2}[=:]\s{0,2}[\"']?)"
           r"[A-Za-z0-9+/_-]{16,}+")
 TITLE = "(?:" + "|".join(x for t in MALE + FEMALE for x in (t, t.upper())) + r")\.?"
 NAME = r"\p{Lu}[\p{L}'’-]+"
-PERSON = rf"(?<![\p{{L}}\p{{N}}]){TITLE} {NAME}(?: {NAME}){{0,2}}"
+TITLE_START = "(?=[" + "".join(sorted({t[0].upper() for t in MALE + FEMALE} | {t[0] for t in MALE + FEMALE})) + "])"
+PERSON = rf"{TITLE_START}(?<![\p{{L}}\p{{N}}]){TITLE} {NAME}(?: {NAME}){{0,2}}"
 KINDS = [("email", EMAIL), ("ip", IP), ("card", CARD), ("phone", PHONE), ("ssn", SSN),
          ("secret", SECRET), ("person", PERSON)]
 ENTITY = "|".join(f"(?:{p})" for _, p in KINDS)
-TRIGGER = rf"[0-9@]|(?<![\p{{L}}\p{{N}}]){TITLE} |(?i:token|secret|password|api.?key|passwd)"
+# what every text with an entity holds; a secret follows = or :
+TRIGGER = rf"[0-9@=:]|{TITLE_START}(?<![\p{{L}}\p{{N}}]){TITLE} "
 
 
 def luhn_sum(digits: Column) -> Column:
