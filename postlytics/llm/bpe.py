@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlytics.llm.common import register, table
-from postlytics.llm.tokens import BYTES, PieceMap, cuts_at_space
+from postlytics.llm.tokens import BYTES, WORD, Memo, PieceMap, cuts_at_space
 
 WINDOW = 512   # symbols merged at a time, besides the lookahead
 
@@ -62,13 +62,16 @@ def merge_window(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[
     if n < 2:
         return symbols
     if n <= 24:
-        parts = symbols[:]
-        get = ranks.get
-        while len(parts) > 1:
-            best, at = min(((get(p, 1 << 60), i) for i, p in enumerate(zip(parts, parts[1:]))))
-            if best == 1 << 60:
-                break
+        parts, get, none = symbols[:], ranks.get, 1 << 60
+        pair = [get(p, none) for p in zip(parts, parts[1:])]
+        while pair and (best := min(pair)) < none:
+            at = pair.index(best)
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
+            del pair[at]
+            if at < len(pair):
+                pair[at] = get((parts[at], parts[at + 1]), none)
+            if at:
+                pair[at - 1] = get((parts[at - 1], parts[at]), none)
         return parts
     parts: list[str | None] = list(symbols)
     nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -105,7 +108,14 @@ class StreamingBPE:
         has no bound: its words are merged whole."""
         limit = None if self.lookahead is None else self.window + self.lookahead
         held: list[str] = []
-        stream = iter(symbols)
+        if isinstance(symbols, str) and 0 < len(symbols) <= self.window:
+            held = list(symbols)   # a whole word that fits the window
+            held[-1] += self.suffix
+            return iter(merge_window(held, self.ranks))
+        return self._stream(iter(symbols), limit)
+
+    def _stream(self, stream: Iterator[str], limit: int | None) -> Iterator[str]:
+        held: list[str] = []
         ended = False
         while not ended:
             for s in stream:
@@ -145,18 +155,11 @@ class Transducer:
         self.special = {a["content"]: a["id"] for a in spec.get("added_tokens", [])}
         self.cut = re.compile("|".join(f"({re.escape(x)})" for x in
                                        sorted(self.special, key=len, reverse=True)) or r"(?!)")
-        self.parts = PieceMap(self._ids, cuts_at_space(spec))
-        self.words: dict[str, tuple[int, ...]] = {}
-
-    def _word(self, word: str) -> tuple[int, ...]:
-        ids = self.words.get(word)
-        if ids is None:
-            ids = tuple(map(self.vocab.__getitem__, self.bpe.tokens(word)))
-            if len(word) <= 48:
-                if len(self.words) >= 300_000:
-                    self.words.clear()
-                self.words[word] = ids
-        return ids
+        exact = cuts_at_space(spec)
+        self.folds = exact and spec["pre_tokenizer"]["type"] != "ByteLevel"
+        self.parts = PieceMap(self._ids, exact)
+        self.words = Memo(lambda word: tuple(map(self.vocab.__getitem__, self.bpe.tokens(word))))
+        self._word = self.words.__getitem__
 
     def _ids(self, piece: str) -> tuple[int, ...]:
         if "<" in piece and self.cut.search(piece):
@@ -168,9 +171,12 @@ class Transducer:
         return self._plain(piece)
 
     def _plain(self, piece: str) -> tuple[int, ...]:
-        m = PLAIN.fullmatch(piece)
-        if m and self.bpe.suffix:  # lower-cased ASCII is its own byte alphabet
-            return self._word(m[1].lower()) + (self._word(m[2]) if m[2] else ())
+        m = WORD.fullmatch(piece) if self.folds else None
+        if m:  # one word, then punctuation
+            word = m[2].lower()
+            if not word.isascii():
+                word = word.encode().decode("latin-1").translate(BYTES)
+            return self._word(word) + (self._word(m[3]) if m[3] else ())
         if not piece:
             return ()
         if self.normalizer is not None:
@@ -182,10 +188,6 @@ class Transducer:
         return list(chain.from_iterable(self.parts(text))) if text else []
 
 
-# ASCII letters, then ASCII punctuation, after at most one blank
-PLAIN = re.compile(r"[ \n]?([A-Za-z]+)([!-/:-@\[-`{-~]*)")
-
-
 class StreamingDecoder:
     """ids -> text, bit by bit. With a byte-level decoder a token's characters are bytes;
     without any decoder (``separator`` given) tokens are their vocabulary strings with the

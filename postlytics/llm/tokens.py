@@ -14,7 +14,7 @@ from array import array
 from functools import cache
 from itertools import chain
 
-MAX_ENTRIES = 300_000   # of a table, per worker; it starts anew when full
+MAX_ENTRIES = 400_000   # of a generation of a table, per worker
 MAX_PIECE = 48          # longer pieces are encoded each time
 ODD_SPACE = re.compile(r"\s\s|[^\S \n]|^\s")
 CUT = re.compile(r"(?<=\S)(?=[ \n])")
@@ -50,17 +50,22 @@ BYTES = _byte_alphabet()
 
 
 class Memo(dict):
-    """piece -> value, computed when missing; bounded."""
+    """piece -> value, computed when missing. Holds two generations of at most
+    ``MAX_ENTRIES``: what is used again outlives a full table."""
 
     def __init__(self, make, prefix: str = ""):
-        self.make, self.prefix = make, prefix
+        self.make, self.prefix, self.old = make, prefix, {}
 
     def __missing__(self, piece: str):
-        value = self.make(self.prefix + piece)
-        if len(piece) <= MAX_PIECE:
-            if len(self) >= MAX_ENTRIES:
-                self.clear()
-            self[piece] = value
+        value = self.old.get(piece)
+        if value is None:
+            value = self.make(self.prefix + piece)
+            if len(piece) > MAX_PIECE:
+                return value
+        if len(self) >= MAX_ENTRIES:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = value
         return value
 
 
@@ -119,10 +124,10 @@ class TextEncoder:
         space, word, tail = m.groups()
         if self.byte_level:
             front = self.tails["\n"] if space == "\n" else b""
-            word = " " + word if space == " " else word
+            lead = BYTES[32] if space == " " else ""
         else:  # white space is dropped, case folded
-            front, word = b"", word.lower()
-        key = word if word.isascii() and word[0] != " " else word.encode().decode("latin-1").translate(BYTES)
+            front, word, lead = b"", word.lower(), ""
+        key = lead + (word if word.isascii() else word.encode().decode("latin-1").translate(BYTES))
         return front + self.cores[key] + (self.tails[tail] if tail else b"")
 
     def __call__(self, text: str | None) -> bytes:
