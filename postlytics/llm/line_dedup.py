@@ -64,8 +64,8 @@ def _chunks(rows: DataFrame, *extra: str) -> DataFrame:
 
 
 def _with(rows: DataFrame, more: DataFrame, how: str) -> DataFrame:
-    """``rows`` joined with ``more`` on (id, h), null ids included."""
-    a, b = rows.alias("a"), more.alias("b")
+    """``rows`` joined with ``more`` on (id, h), null ids included; by a merge join at every size."""
+    a, b = rows.alias("a"), more.hint("merge").alias("b")
     rest = [F.col(f"b.{c}") for c in more.columns if c not in ("id", "h")]
     return a.join(b, F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.h") == F.col("b.h")),
                   how).select("a.*", *rest)
