@@ -4,7 +4,8 @@
    address); card numbers must pass the Luhn check, other long numbers are left alone.
 2. Every distinct entity consists of units: its normalised form (digits of a phone
    number or card, the lower-cased address, ...), or for a person the given names and
-   the surname, so that "Mr. John Smith" and "Mr. Smith" stay one person.
+   the surname, so that "Mr. John Smith" and "Mr. Smith" stay one person. A full name
+   found after a title is an entity wherever it stands in the same text without one.
 3. Every distinct unit gets a surrogate from a keyed SHA-256: same type, same length and
    character classes, gender and script of the title and name, valid check digit.
    A surrogate taken twice, or equal to an original of its type, is drawn again with the
@@ -27,12 +28,15 @@ ROUNDS = 64          # more collisions in a row than this mean an exhausted form
 
 # fixed values: titles of address by gender, surrogate names by gender and script
 MALE = ["Mr", "Mister", "Sir", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Signor", "г-н"]
+NEUTRAL = ["Dr", "Prof", "Professor", "Doctor", "Doktor"]
 FEMALE = ["Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Señora", "Sra", "Signora", "г-жа"]
 GIVEN = {
     "m_latin": ["Adam", "Bruno", "Carl", "Daniel", "Emil", "Felix", "Georg", "Hugo", "Ivan",
                 "Jonas", "Leon", "Marco", "Nico", "Oscar", "Paul", "Robin"],
     "f_latin": ["Anna", "Bianca", "Clara", "Diana", "Elena", "Flora", "Greta", "Helena", "Ines",
                 "Julia", "Laura", "Marta", "Nora", "Olivia", "Paula", "Rosa"],
+    "n_latin": ["Alexis", "Casey", "Dana", "Jamie", "Kim", "Morgan", "Sascha", "Toni"],
+    "n_cyrillic": ["Женя", "Саша", "Шура", "Валя"],
     "m_cyrillic": ["Антон", "Борис", "Виктор", "Денис", "Егор", "Иван", "Кирилл", "Марк"],
     "f_cyrillic": ["Анна", "Вера", "Дарья", "Елена", "Ирина", "Ксения", "Мария", "Ольга"],
 }
@@ -40,26 +44,34 @@ SYLLABLES = {"latin": ["ba", "del", "fin", "gar", "hol", "ker", "lin", "mar", "n
                        "san", "tal", "ver", "win", "zor"],
              "cyrillic": ["ба", "вел", "гор", "дан", "зар", "кол", "лар", "мил", "нов", "пет",
                           "рад", "сав", "тар", "фед", "хол", "яр"]}
-ENDING = {"m_latin": "o", "f_latin": "a", "m_cyrillic": "ов", "f_cyrillic": "ова", "latin": "er"}
+ENDING = {"m_latin": "o", "f_latin": "a", "n_latin": "i", "m_cyrillic": "ов", "f_cyrillic": "ова",
+          "n_cyrillic": "ко", "latin": "er"}
 
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-EMAIL = (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
+# an address may follow any punctuation; inside a run of its characters only the first letter
+# or digit is tried, which finds the same and keeps the search linear
+EMAIL = (r"(?=[A-Za-z0-9])(?<![A-Za-z0-9])(?:(?<![._%+-])|(?<![A-Za-z0-9][._%+-]{1,32}))"
+         r"[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
          r"(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}+")
 # each pattern looks at its first character before it looks behind, which is dearer
 IP = rf"(?=[0-9])(?<![0-9.]){OCTET}(?:\.{OCTET}){{3}}(?![0-9]|\.[0-9])"
 CARD = (r"(?=[0-9])(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{4}"
         r"|[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z])")
 PHONE = (r"(?=\+)(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])"
-         r"|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])"
-         r"|(?=[0-9])(?<![0-9A-Za-z.-])[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}(?![0-9])")
+         r"|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])"
+         r"|(?=[0-9])(?<![0-9A-Za-z])(?<![0-9][.-])(?:1[ .-]?\([0-9]{3}\)[ .-]?|(?:1[ .-])?[0-9]{3}[ .-])"
+         r"[0-9]{3}[ .-][0-9]{4}(?![0-9])")
 SSN = r"(?=[0-9])(?<![0-9A-Za-z-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9A-Za-z-])"
 SECRET = (r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{16})"
           r"(?<=(?i:token|secret|api_key|apikey|api-key|password|passwd)[\"']?\s{0,2}[=:]\s{0,2}[\"']?)"
           r"[A-Za-z0-9+/_-]{16,}+")
-TITLE = "(?:" + "|".join(x for t in MALE + FEMALE for x in (t, t.upper())) + r")\.?"
-NAME = r"\p{Lu}[\p{L}'’-]+"
-TITLE_START = "(?=[" + "".join(sorted({t[0].upper() for t in MALE + FEMALE} | {t[0] for t in MALE + FEMALE})) + "])"
-PERSON = rf"{TITLE_START}(?<![\p{{L}}\p{{N}}]){TITLE} {NAME}(?: {NAME}){{0,2}}"
+TITLE = "(?:" + "|".join(x for t in MALE + FEMALE + NEUTRAL for x in (t, t.upper())) + r")\.?"
+TITLES = f"{TITLE}(?: {TITLE})*"
+# a quote or a possessive 's at the end is no part of a name
+NAME = r"\p{Lu}(?:\p{L}|-(?=\p{L})|['’](?=\p{L})(?![sS](?!\p{L})))+"
+TITLE_START = "(?=[" + "".join(sorted({x for t in MALE + FEMALE + NEUTRAL for x in (t[0].upper(), t[0])})) + "])"
+PERSON = rf"{TITLE_START}(?<![\p{{L}}\p{{N}}]){TITLES} {NAME}(?: {NAME}){{0,2}}"
+FULL_NAME = f"^{NAME}(?: {NAME}){{1,2}}$"
 KINDS = [("email", EMAIL), ("ip", IP), ("card", CARD), ("phone", PHONE), ("ssn", SSN),
          ("secret", SECRET), ("person", PERSON)]
 ENTITY = "|".join(f"(?:{p})" for _, p in KINDS)
@@ -86,6 +98,25 @@ def entities(text: Column) -> Column:
     return F.when(text.rlike(TRIGGER), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(none)
 
 
+def name_of(person: Column) -> Column:
+    return F.regexp_replace(person, f"^{TITLES} ", "")
+
+
+def full_names(found: Column) -> Column:
+    """Distinct full names (two words or more) of the persons among the candidates of a text,
+    also in capitals, or capitalised where found in capitals; longer ones come first."""
+    names = F.filter(F.transform(F.filter(found, lambda x: x.rlike(f"^{TITLE} ")), name_of),
+                     lambda x: x.contains(" "))
+    written = F.flatten(F.transform(names, lambda x: F.array(
+        x, F.upper(x), F.when(x == F.upper(x), F.initcap(x)).otherwise(x))))
+    return F.reverse(F.array_sort(F.array_distinct(written)))
+
+
+def with_names(names: Column) -> Column:
+    """ENTITY, or one of these names; they consist of letters, spaces, ', ’ and - only."""
+    return F.concat(F.lit(ENTITY + r"|(?<![\p{L}\p{N}])(?:"), F.array_join(names, "|"), F.lit(r")(?![\p{L}\p{N}])"))
+
+
 def kind_of(entity: Column) -> Column:
     """Type of a candidate; null for a long number that is no card."""
     out = None
@@ -102,8 +133,9 @@ def kind_of(entity: Column) -> Column:
 def units(kind: Column, entity: Column) -> Column:
     """Array of (kind, norm) that an entity consists of."""
     one = lambda k, norm: F.array(F.struct(F.lit(k).alias("kind"), norm.alias("norm")))
-    name = F.regexp_replace(entity, f"^{TITLE} ", "")
-    gender = F.when(entity.rlike("^(?iu:" + "|".join(MALE) + r")\.? "), "m").otherwise("f")
+    name, title = name_of(entity), F.regexp_extract(entity, f"^{TITLES} ", 0)
+    has = lambda titles: title.rlike(r"(?:^| )(?iu:" + "|".join(titles) + r")\.? ")
+    gender = F.when(has(MALE), "m").when(has(FEMALE), "f").otherwise("n")
     script = F.when(name.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
     words = F.split(F.lower(name), " ")
     last = F.size(words) - 1
@@ -178,7 +210,7 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
             n = F.least(2 + F.floor(attempt / 3).cast("int"), F.lit(8))
             return F.initcap(F.concat(F.array_join(F.transform(
                 F.sequence(F.lit(1), n), lambda i: _pick(syllables, _number(h, i))), ""), F.lit(ending)))
-        for g in ("m", "f"):
+        for g in ("m", "f", "n"):
             who = f"{g}_{script}"
             out = out.when(kind == f"given_{who}",
                            F.when(attempt < 2, _pick(GIVEN[who], _number(h, F.lit(0)))).otherwise(made(ENDING[who])))
@@ -226,7 +258,7 @@ def replacements(found: DataFrame, key: str) -> DataFrame:
     pieces = F.split(e, "[0-9]", -1)
     digits = F.concat(F.split(flat, ""), F.array(F.lit("")))
     refilled = F.array_join(F.zip_with(pieces, F.slice(digits, F.lit(1), F.size(pieces)), lambda a, b: F.concat(a, b)), "")
-    title = F.regexp_extract(e, f"^{TITLE} ", 0)
+    title = F.regexp_extract(e, f"^{TITLES} ", 0)
     person = F.concat(title, F.array_join(w, " "))
     out = (F.when(F.col("type").isin("card", "phone", "ssn"), refilled)
            .when(F.col("type") == "person", person).otherwise(flat))
@@ -245,20 +277,36 @@ def replace_pii(docs: DataFrame, key: str = KEY, text_col: str = "text",
     cols = docs.columns
     text = F.col(text_col)
     made = F.struct(*[F.col(c) for c in cols]).alias("row")
-    rows = docs.select(made, text.alias("t"), entities(text).alias("e"))
+    rows = docs.select(made, text.alias("t"), entities(text).alias("e0"))
     n = (lambda c: [c.cast("int").alias(count_col)]) if count_col else (lambda c: [])
-    plain = (rows.filter(F.col("e").isNull() | (F.size("e") == 0))
+    plain = (rows.filter(F.col("e0").isNull() | (F.size("e0") == 0))
              .select(*[F.col("row")[c].alias(c) for c in cols], *n(F.lit(0))))
-    held = rows.filter(F.size("e") > 0).withColumn("k", F.sha2(F.array_join("e", "\x00"), 256))
+    # a second look, with the full names of the first one's persons, where there are any
+    named, pattern = F.size("names") > 0, with_names(F.col("names"))
+    held = (rows.filter(F.size("e0") > 0).withColumn("names", full_names(F.col("e0")))
+            .withColumn("e", F.when(named, F.regexp_extract_all("t", pattern, F.lit(0))).otherwise(F.col("e0")))
+            .withColumn("k", F.sha2(F.array_join("e", "\x00"), 256)))
     # texts with the same entities (copies) share one row here
     lists = stored(held.groupBy("k").agg(F.first("e").alias("e")))
-    each = lists.select("k", F.posexplode("e").alias("i", "entity"))
+    # a name without title stands for the first person of that name
+    persons = F.transform(F.filter("e", lambda x: x.rlike(f"^{TITLE} ")),
+                          lambda x: F.struct(F.lower(name_of(x)).alias("name"), x.alias("entity")))
+
+    def seen(x):
+        same = F.filter("persons", lambda p: p["name"] == F.lower(x))
+        return F.struct(x.alias("s"), F.when(x.rlike(FULL_NAME), F.get(same, 0)["entity"]).alias("entity"))
+    each = (lists.withColumn("persons", persons)
+            .select("k", F.posexplode(F.transform("e", seen)).alias("i", "seen"))
+            .select("k", "i", "seen.s", F.coalesce("seen.entity", "seen.s").alias("entity"),
+                    F.col("seen.entity").isNotNull().alias("bare")))
     news = stored(replacements(each, key))
+    name = name_of(F.col("replacement"))
+    again = F.when(F.col("s") == F.upper("s"), F.upper(name)).otherwise(F.initcap(name))
     filled = (each.join(news, "entity", "left")
               .groupBy("k").agg(F.array_sort(F.collect_list(F.struct(
-                  "i", F.coalesce("replacement", "entity").alias("s"),
+                  "i", F.coalesce(F.when(F.col("bare"), again).otherwise(F.col("replacement")), "s").alias("s"),
                   F.col("replacement").isNotNull().cast("int").alias("n")))).alias("new")))
-    between = F.split("t", ENTITY, -1)
+    between = F.when(named, F.split("t", pattern, -1)).otherwise(F.split("t", ENTITY, -1))
     joined = F.array_join(F.zip_with(
         between, F.concat(F.transform("new", lambda x: x.s), F.array(F.lit(""))),
         lambda a, b: F.concat(a, b)), "")

@@ -87,3 +87,45 @@ def test_whole_table(spark):
             assert all(x != y and seen.setdefault(x, y) == y for x, y in zip(a, b))
         assert len(set(seen.values())) == len(seen) > 0
     assert all((new[d].n_replaced == 0) == (old[d] == new[d].text) for d in old)
+
+
+@pytest.mark.parametrize("mail", ["-bob@x.com", "_bob@x.com", "...bob@x.com", "+bob@x.com", "%bob@x.com", "<bob@x.com>"])
+def test_addresses_after_punctuation(spark, mail):
+    got = pii.replace_pii(docs_of(spark, [f"Write to {mail} or bob@x.com now"]), count_col="n").first()
+    new = re.findall(r"[a-z]+@[a-z]\.com", got.text)
+    assert got.n == 2 and new[0] == new[1] != "bob@x.com"
+    assert got.text == f"Write to {mail} or bob@x.com now".replace("bob@x.com", new[0])
+
+
+def test_long_runs_of_address_characters_stay_linear(spark):
+    text = "a-" * 100_000 + " " + "." * 100_000
+    assert pii.replace_pii(docs_of(spark, [text + " 1"])).first().text == text + " 1"
+
+
+PHONES = ["1-800-555-1234", "555 123 4567", "(017) 555 7713", "(555)123.4567", "1 (555) 123-4567",
+          "1.555.123.4567", "...555-123-4567"]
+
+
+def test_phone_formats(spark):
+    got = pii.replace_pii(docs_of(spark, [f"call {p}, please" for p in PHONES] + ["pi 3.141 592 6535"]),
+                          count_col="n").orderBy("doc_id").collect()
+    for p, r in zip(PHONES, got):
+        new = re.fullmatch("call (.*), please", r.text)[1]
+        assert r.n == 1 and new != p and re.sub(r"\d", "9", new) == re.sub(r"\d", "9", p)
+    assert got[-1].n == 0
+
+
+def test_full_names_without_title(spark):
+    texts = ["John Smith is here. Mr. John Smith's car; \"John Smith\" left, JOHN SMITH too, John Smithson not.",
+             "Frau Dr. Eva Groß, Prof. Lee Park and Dr. Park: Eva Groß, Lee Park. MR. PAT O'NEIL met Pat O'Neil",
+             "John Smith alone is not looked for"]
+    got = {r.doc_id: r for r in pii.replace_pii(docs_of(spark, texts), count_col="n").collect()}
+    a = re.fullmatch(r"(\w+ \w+) is here\. Mr\. (\w+ \w+)'s car; \"(\w+ \w+)\" left, (\w+ \w+) too, John Smithson not\.",
+                     got[0].text)
+    assert a and a[1] == a[2] == a[3] == a[4].title() != "John Smith" and a[4].isupper() and got[0].n == 4
+    b = re.fullmatch(r"Frau Dr\. (\w+ \w+), Prof\. (\w+ (\w+)) and Dr\. (\w+): (\w+ \w+), (\w+ \w+)\. "
+                     r"MR\. (\w+ \w+) met (.*)", got[1].text)
+    assert b and b[1] == b[5] and b[2] == b[6] and b[3] == b[4]
+    assert b[1].split()[0] in pii.GIVEN["f_latin"] and b[2].split()[0] in pii.GIVEN["n_latin"]
+    assert not {"Eva", "Groß", "Lee", "Park"} & set(re.findall(r"\w+", got[1].text))
+    assert got[2].text == texts[2]
