@@ -1,13 +1,13 @@
 """Clustering of embedded elements.
 
 * G2 KMeans: ``pyspark.ml.clustering.KMeans`` (k-means|| init, seeded).
-* G3 MeanShift (flat kernel): seeds come from binning the points on a grid
-  of the bandwidth (coarsened until the seed count is under a bound, so the
-  seed set can be shipped to every task); each round, every partition sums
-  the points within the bandwidth of each seed (numpy, Arrow batches) and
-  one ``groupBy(seed)`` combines the partial sums. Only the seeds travel to
-  the driver. Near-duplicate centres are merged, and every point goes to
-  its nearest centre.
+* G3 MeanShift (flat kernel): every occupied cell of a grid of the bandwidth
+  is a seed, however many there are. Seeds move independently of each other,
+  so they are dealt to blocks of ``SEED_BLOCK`` that fit a task; each round,
+  every partition sums the points within the bandwidth of each seed that
+  still moves (numpy, Arrow batches) and one ``groupBy(seed)`` combines the
+  partial sums. Only the seeds travel to the driver. Near-duplicate centres
+  are merged, and every point goes to its nearest centre.
 * G4: nearest centre of every vector (ties: lowest centre id).
 * G5: search inside the query's cluster by cosine similarity.
 """
@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from postlytics.operators import features as ft
 from postlytics.operators.similarity import cosine, vector_literal
 
-MAX_SEEDS = 2000
+SEED_BLOCK = 2000  # seeds per pass over the points
 BANDWIDTH_SAMPLE = 2000
 
 
@@ -59,7 +59,8 @@ def _blocks(pdf: pd.DataFrame, vec_col: str):
 
 
 def _nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    out = [_sqdist(points[i:i + CHUNK], centres).argmin(axis=1) for i in range(0, len(points), CHUNK)]
+    step = max(1, min(CHUNK, CHUNK * SEED_BLOCK // max(1, len(centres))))
+    out = [_sqdist(points[i:i + step], centres).argmin(axis=1) for i in range(0, len(points), step)]
     return np.concatenate(out) if out else np.zeros(0, dtype="int64")  # ties: lowest id
 
 
@@ -82,8 +83,8 @@ def assign(df: DataFrame, vec_col: str, centres, out_col: str = "cluster") -> Da
 def estimate_bandwidth(df: DataFrame, vec_col: str, quantile: float = 0.3,
                        sample: int = BANDWIDTH_SAMPLE, seed: int = 42) -> float:
     """Mean distance to the ``quantile * n``-th nearest neighbour, over a
-    seeded sample of at most ``sample`` points (a parameter estimate; the
-    clustering itself uses every point)."""
+    seeded sample of at most ``sample`` points: a help for choosing the
+    bandwidth, which :func:`meanshift` doesn't call."""
     n = df.count()
     frac = min(1.0, sample / max(n, 1))
     pts = [np.asarray(r[0], dtype="float64")
@@ -97,89 +98,100 @@ def estimate_bandwidth(df: DataFrame, vec_col: str, quantile: float = 0.3,
     return float(d[:, min(k, len(x) - 1)].mean())
 
 
-def _bin_seeds(df: DataFrame, vec_col: str, bandwidth: float, max_seeds: int) -> np.ndarray:
-    size = bandwidth
-    while True:
-        cells = (df.select(F.transform(vec_col, lambda x: F.round(x / size)).alias("cell"))
-                 .groupBy("cell").count())
-        n = cells.count()
-        if n <= max_seeds:
-            return np.asarray([np.asarray(r["cell"], dtype="float64") * size
-                               for r in cells.collect()])
-        size *= 2.0
+def _bin_seeds(points: DataFrame, vec_col: str, bandwidth: float) -> np.ndarray:
+    """Centres of all occupied grid cells, in order."""
+    cells = points.select(F.transform(vec_col, lambda x: F.round(x / bandwidth) + 0.0).alias("cell")).distinct()
+    return np.asarray(sorted(list(r["cell"]) for r in cells.collect()), dtype="float64") * bandwidth
 
 
-def meanshift(df: DataFrame, vec_col: str, bandwidth: float | None = None,
-              max_iter: int = 300, max_seeds: int = MAX_SEEDS, seed: int = 42):
-    """``(df + cluster, centres)`` by flat-kernel mean shift."""
-    bw = bandwidth or estimate_bandwidth(df, vec_col, seed=seed)
+def _shifted(points: DataFrame, vec_col: str, s: np.ndarray, bw: float) -> tuple[np.ndarray, np.ndarray]:
+    """(means of the points within ``bw`` of each seed, their numbers)."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        acc = np.zeros_like(s)
+        cnt = np.zeros(len(s))
+        for pdf in batches:
+            for pts in _blocks(pdf, vec_col):
+                near = _sqdist(pts, s) <= bw * bw
+                acc += near.T.astype("float64") @ pts
+                cnt += near.sum(axis=0)
+        yield pd.DataFrame({"seed": np.arange(len(s)), "n": cnt, "sum": list(acc)})
+
+    part = points.mapInPandas(run, "seed long, n double, sum array<double>").cache()
+    # combine the per-partition partial sums: (seed, dim) sums and (seed) counts
+    sums_rows = (part.select("seed", F.posexplode("sum").alias("d", "x"))
+                 .groupBy("seed", "d").agg(F.sum("x").alias("x")).collect())
+    n_rows = part.groupBy("seed").agg(F.sum("n").alias("n")).collect()
+    part.unpersist()
+    new = np.zeros_like(s)
+    for r in sums_rows:
+        new[r["seed"], r["d"]] = r["x"]
+    n = np.zeros(len(s))
+    for r in n_rows:
+        n[r["seed"]] = r["n"]
+    new[n > 0] /= n[n > 0, None]
+    return new, n
+
+
+def meanshift(df: DataFrame, vec_col: str, bandwidth: float, max_iter: int = 300):
+    """``(df + cluster, centres)`` by flat-kernel mean shift. Each seed stops for
+    itself when a round moves it by less than a thousandth of the bandwidth, so the result
+    doesn't depend on the blocks."""
     points = df.select(vec_col).cache()
-    seeds = _bin_seeds(points, vec_col, bw, max_seeds)
-    for _ in range(max_iter):
-        s = seeds
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            acc = np.zeros_like(s)
-            cnt = np.zeros(len(s))
-            for pdf in batches:
-                for pts in _blocks(pdf, vec_col):
-                    near = _sqdist(pts, s) <= bw * bw
-                    acc += near.T.astype("float64") @ pts
-                    cnt += near.sum(axis=0)
-            yield pd.DataFrame({"seed": np.arange(len(s)), "n": cnt, "sum": list(acc)})
-
-        part = points.mapInPandas(run, "seed long, n double, sum array<double>").cache()
-        # combine the per-partition partial sums: (seed, dim) sums and (seed) counts
-        sums_rows = (part.select("seed", F.posexplode("sum").alias("d", "x"))
-                     .groupBy("seed", "d").agg(F.sum("x").alias("x")).collect())
-        n_rows = part.groupBy("seed").agg(F.sum("n").alias("n")).collect()
-        part.unpersist()
-        sums = np.zeros_like(s)
-        for r in sums_rows:
-            sums[r["seed"], r["d"]] = r["x"]
-        n_per_seed = np.zeros(len(s))
-        for r in n_rows:
-            n_per_seed[r["seed"]] = r["n"]
-        alive = n_per_seed > 0
-        new = s.copy()
-        new[alive] = sums[alive] / n_per_seed[alive, None]
-        shift = float(np.sqrt(((new - s) ** 2).sum(axis=1)).max()) if len(s) else 0.0
-        seeds = new[alive]
-        if shift < 1e-3 * bw or len(seeds) == 0:
-            break
-    centres = _merge_centres(points, vec_col, seeds, bw)
+    seeds = _bin_seeds(points, vec_col, bandwidth)
+    ends = []
+    for i in range(0, len(seeds), SEED_BLOCK):
+        at = seeds[i:i + SEED_BLOCK].copy()
+        moving = np.arange(len(at))
+        alive = np.ones(len(at), dtype=bool)
+        for _ in range(max_iter):
+            new, n = _shifted(points, vec_col, at[moving], bandwidth)
+            alive[moving[n == 0]] = False
+            moving, new = moving[n > 0], new[n > 0]
+            shift = np.sqrt(((new - at[moving]) ** 2).sum(axis=1))
+            at[moving] = new
+            moving = moving[shift >= 1e-3 * bandwidth]
+            if not len(moving):
+                break
+        ends.append(at[alive])
+    # seeds that ended at the same place are one
+    centres = _merge_centres(points, vec_col, np.unique(np.concatenate(ends), axis=0), bandwidth) if ends else seeds
     points.unpersist()
     return assign(df, vec_col, centres), centres
 
 
 def _merge_centres(points: DataFrame, vec_col: str, centres: np.ndarray, bw: float) -> np.ndarray:
     """Keep centres by descending support, dropping any within ``bw`` of a kept one."""
-    c = centres
+    sup = np.zeros(len(centres))
+    for i in range(0, len(centres), SEED_BLOCK):
+        c = centres[i:i + SEED_BLOCK]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cnt = np.zeros(len(c))
-        for pdf in batches:
-            for pts in _blocks(pdf, vec_col):
-                cnt += (_sqdist(pts, c) <= bw * bw).sum(axis=0)
-        yield pd.DataFrame({"seed": np.arange(len(c)), "n": cnt})
-
-    sup = np.zeros(len(c))
-    for r in points.mapInPandas(run, "seed long, n double").groupBy("seed").agg(
-            F.sum("n").alias("n")).collect():
-        sup[r["seed"]] = r["n"]
-    order = sorted(range(len(c)), key=lambda i: (-sup[i], tuple(c[i])))
-    kept: list[np.ndarray] = []
+        def run(batches: Iterator[pd.DataFrame], c=c) -> Iterator[pd.DataFrame]:
+            cnt = np.zeros(len(c))
+            for pdf in batches:
+                for pts in _blocks(pdf, vec_col):
+                    cnt += (_sqdist(pts, c) <= bw * bw).sum(axis=0)
+            yield pd.DataFrame({"seed": np.arange(len(c)), "n": cnt})
+
+        for r in points.mapInPandas(run, "seed long, n double").groupBy("seed").agg(
+                F.sum("n").alias("n")).collect():
+            sup[i + r["seed"]] = r["n"]
+    order = sorted(range(len(centres)), key=lambda i: (-sup[i], tuple(centres[i])))
+    kept = np.empty_like(centres)
+    n = 0
     for i in order:
-        if all(np.sqrt(((c[i] - k) ** 2).sum()) > bw for k in kept):
-            kept.append(c[i])
-    return np.asarray(kept)
+        if (np.sqrt(((centres[i] - kept[:n]) ** 2).sum(axis=1)) > bw).all():
+            kept[n] = centres[i]
+            n += 1
+    return kept[:n]
 
 
 def cluster_elements(df: DataFrame, element_col: str, embedder, n_clusters: int | None = None,
-                     segmenter=None, seed: int = 42):
+                     segmenter=None, seed: int = 42, bandwidth: float | None = None):
     """G1: segment (optional) -> embed -> standardise -> KMeans (``n_clusters``)
-    or MeanShift. Returns ``(frame(element, cluster, embedding_scaled), info)``
+    or MeanShift (``bandwidth``); one of the two must be given. Returns ``(frame(element, cluster, embedding_scaled), info)``
     where ``info`` holds the model/centres and the scaler statistics."""
+    if not n_clusters and not bandwidth:
+        raise ValueError("give n_clusters or bandwidth")
     el = df.select(F.col(element_col).alias("element")).where(F.col("element").isNotNull()).distinct()
     text = "element"
     if segmenter is not None:
@@ -192,7 +204,7 @@ def cluster_elements(df: DataFrame, element_col: str, embedder, n_clusters: int
         out, model = kmeans(scaled, "embedding_scaled", n_clusters, seed)
         centres = [list(map(float, c)) for c in model.clusterCenters()]
     else:
-        out, c = meanshift(scaled, "embedding_scaled", seed=seed)
+        out, c = meanshift(scaled, "embedding_scaled", bandwidth)
         centres, model = [list(map(float, x)) for x in c], None
     info = {"model": model, "centres": centres, "means": means, "stds": stds}
     return out.select("element", "cluster", "embedding_scaled"), info

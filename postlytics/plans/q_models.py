@@ -55,10 +55,14 @@ def g2_kmeans(spark, sf):
     return out.select("vec_id", "cluster")
 
 
+# mean distance to the nearest 30 % at sf0.01, every point counted (10.93 at sf0.1)
+BANDWIDTH = 10.94
+
+
 @register("g3_meanshift")
 def g3_meanshift(spark, sf):
     """Flat-kernel mean shift of the standardised embeddings."""
-    out, _ = cl.meanshift(_scaled_embeddings(spark, sf), "scaled")
+    out, _ = cl.meanshift(_scaled_embeddings(spark, sf), "scaled", BANDWIDTH)
     return out.select("vec_id", "cluster")
 
 

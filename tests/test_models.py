@@ -53,6 +53,22 @@ def test_meanshift_two_blobs(spark):
     assert labels[0] != labels[40]
 
 
+def test_meanshift_keeps_a_seed_per_cell(spark, monkeypatch):
+    # 2,500 places 3 bandwidths apart: more than one block of seeds, each place its own cluster
+    df = spark.createDataFrame([(i, [3.0 * (i % 50), 3.0 * (i // 50)]) for i in range(2500)],
+                               "id long, v array<double>")
+    out, centres = cl.meanshift(df, "v", bandwidth=1.0)
+    assert len(centres) == 2500 and out.select("cluster").distinct().count() == 2500
+    rng = np.random.default_rng(2)
+    some = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(rng.normal(0, 2, (80, 2)))],
+                                 "id long, v array<double>")
+    one = cl.meanshift(some, "v", bandwidth=1.5)[1]
+    monkeypatch.setattr(cl, "SEED_BLOCK", 4)
+    assert np.allclose(one, cl.meanshift(some, "v", bandwidth=1.5)[1])
+    with pytest.raises(ValueError):
+        cl.cluster_elements(df, "id", None)
+
+
 def test_segment(spark):
     texts = spark.createDataFrame([("machine learning is fun",), ("learning machines",)], "text string")
     counts = sg.unigram_counts(texts)
