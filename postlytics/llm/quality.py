@@ -120,7 +120,7 @@ def fit_ranker(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                text_col: str = "text", label_col: str = "quality") -> Ranker:
     """The ranker of the labelled documents that are not held out. Labels other than 0 and 1
     are ignored; a document labelled both ways counts as 0; a label without document is
-    skipped. Without both labels every document will score 0.5."""
+    skipped; of several rows of one id the one with the least hash of its text counts. Without both labels every document will score 0.5."""
     known = (labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()
                            & ~held_out(F.col(id_col)))
              .groupBy(F.col(id_col).cast("long").alias("doc_id"))
@@ -132,11 +132,15 @@ def fit_ranker(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
     def measure(batches):
         for pdf in batches:
-            yield pdf[["doc_id", "y"]].assign(f=[features(t) for t in pdf["text"]])
+            yield pdf[["doc_id", "y", "h"]].assign(f=[features(t) for t in pdf["text"]])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    got = (rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
-           .mapInPandas(measure, "doc_id long, y int, f array<double>")
+    # one row per id reaches the driver, however often the id recurs
+    got = (rows.join(F.broadcast(chosen), "doc_id")
+           .select("doc_id", "y", F.xxhash64("text").alias("h"), "text")
+           .mapInPandas(measure, "doc_id long, y int, h long, f array<double>")
+           .groupBy("doc_id", "y").agg(F.min(F.struct("h", "f")).alias("least"))
+           .select("doc_id", "y", F.col("least.f").alias("f"))
            .toPandas().sort_values(["doc_id", "y"], kind="stable"))
     return Ranker([list(f) for f in got["f"]], got["y"].to_numpy())
 

@@ -39,3 +39,16 @@ def test_edges(spark):
     assert {r.score for r in quality.score_documents(edge_docs(spark), none).collect()} == {0.5}
     assert quality.score_documents(no_docs(spark), ranker).count() == 0
     assert quality.fit_ranker(no_docs(spark), labels).w is None
+
+
+def test_a_repeated_id_counts_once(spark):
+    texts = [(i, f"word{i} " * (i + 3) + ("!" * i)) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    schema = "doc_id long, text string"
+    once = quality.fit_ranker(spark.createDataFrame(texts, schema), labels)
+    often = quality.fit_ranker(spark.createDataFrame(texts + texts[3:4] * 200, schema), labels)
+    assert np.array_equal(once.w, often.w) and once.threshold == often.threshold
+    mixed = texts + [(3, f"other text {i}") for i in range(50)]
+    a = quality.fit_ranker(spark.createDataFrame(mixed, schema), labels)
+    b = quality.fit_ranker(spark.createDataFrame(mixed[::-1], schema), labels)
+    assert np.array_equal(a.w, b.w) and a.threshold == b.threshold
