@@ -97,33 +97,40 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
     several queries with one id the smallest vector asks.
 
     ``vectors`` and ``queries`` hold an id and floats; components x count as floor(256 x).
-    Vectors that are null, empty or hold null or non-finite components, null ids, and
-    vectors of another length than the first sampled one take no part. Rows repeated with
-    one id are all candidates. Fewer candidates than ``k`` give fewer rows; an empty table
-    none. Other columns are ignored.
+    Vectors that are null, empty or hold null or non-finite components and null ids take no
+    part. A query meets the vectors of its own length; every length that is asked for has
+    its index. Rows repeated with one id are all candidates. Fewer candidates than ``k``
+    give fewer rows; an empty table none. Other columns are ignored.
     """
-    import numpy as np
-
-    spark = vectors.sparkSession
-
     def clean(df):
         return (df.select(F.col(id_col).cast("long").alias("id"), quantized(F.col(vec_col)).alias("v"))
                 .filter("id IS NOT NULL AND v IS NOT NULL AND size(v) > 0"))
 
     every = stored(clean(vectors))
-    total = every.count()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    if not total:
-        return empty
+    asked = stored(clean(queries).groupBy("id").agg(F.min("v").alias("v")))
+    n_by_dim = {r["dim"]: r["n"] for r in every.groupBy(F.size("v").alias("dim"))
+                .agg(F.count("*").alias("n")).collect()}
+    dims = sorted(r["dim"] for r in asked.select(F.size("v").alias("dim")).distinct().collect())
+    out = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    for i, dim in enumerate([d for d in dims if d in n_by_dim]):
+        of_dim = _top_k(every.filter(F.size("v") == dim), asked.filter(F.size("v") == dim),
+                        dim, n_by_dim[dim], k, pivots, n_rings)
+        out = out.unionByName(of_dim) if i else of_dim
+    return out
+
+
+def _top_k(every: DataFrame, asked: DataFrame, dim: int, total: int, k: int, pivots: int,
+           n_rings: int) -> DataFrame:
+    """``top_k`` of the queries ``asked`` (id, v) and ``total`` vectors of one length."""
+    import numpy as np
+
     step = max(1, total // SAMPLE)
     sampled = (every.filter(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).limit(2 * SAMPLE)
                .toPandas())
     if sampled.empty:
         sampled = every.limit(SAMPLE).toPandas()
     sampled = sampled.sort_values("id")
-    dim = len(sampled["v"].iloc[0])
-    rings = Rings(np.stack([v for v in sampled["v"] if len(v) == dim]), pivots, n_rings)
-    every = every.filter(F.size("v") == dim)
+    rings = Rings(np.stack(sampled["v"]), pivots, n_rings)
 
     def key(batches):
         for pdf in batches:
@@ -157,8 +164,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
                     .groupBy("ring", "part")
                     .applyInPandas(block, "ring long, part long, ids binary, x binary"))
 
-    asked = stored(clean(queries).filter(F.size("v") == dim)
-                   .groupBy("id").agg(F.min("v").alias("v")))
     best = None      # (query_id, vec_id, score) of the rounds so far, k for each query
     lo, hi = 0, FIRST
     n_known = len(known["ring"])

@@ -50,3 +50,18 @@ def test_few_rows_and_empty(spark):
     assert run(spark, [(1, [0.5])], [1], 5) == []
     assert run(spark, [(1, None)], [1], 5) == []
     assert run(spark, [(1, [0.5]), (2, [1.0])], [], 5) == []
+
+
+def test_every_length_is_served(spark):
+    rng = np.random.default_rng(3)
+    rows = [(0, [0.5]), (1, [0.25, 0.5])]                        # short ones with small ids
+    rows += [(i, [float(x) for x in rng.normal(size=4)]) for i in range(2, 40)]
+    rows += [(i, [float(x) for x in rng.normal(size=2)]) for i in range(40, 60)]
+    rows += [(60, [1.0] * 7)]
+    queries = [0, 1, 2, 39, 40, 60]
+    got = run(spark, rows, queries, 3, pivots=3, n_rings=2)
+    want = []
+    for n in (1, 2, 4, 7):
+        some = [(i, v) for i, v in rows if len(v) == n]
+        want += brute(some, [q for q in queries if q in dict(some)], 3)
+    assert got == sorted(want) and {r[0] for r in got} == {1, 2, 39, 40}
