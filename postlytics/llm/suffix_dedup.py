@@ -13,7 +13,8 @@ document that share an anchor form a run, about one for every 170 bytes.
    search over prefix polynomial hashes, then compare the next byte. A run's neighbours in
    both orders give its longest common extensions to either side. Between these bounds,
    windows that no single neighbour explains are looked up by window hash in the group.
-3. Every claimed match is compared byte by byte; a hash collision is recomputed on bytes.
+3. Every match claimed by step 2 is compared byte by byte; a hash collision is recomputed on
+   bytes. Step 1 rests on the two 64-bit hashes alone.
 
 Anchors with over ``HOT`` distinct extents (a passage in a third of all documents) are
 not sorted in one task: their windows are dealt out by two window hashes and counted.
