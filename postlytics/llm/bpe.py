@@ -32,7 +32,7 @@ from itertools import chain
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlytics.llm.common import register, table
+from postlytics.llm.common import register, table, whole_id, with_nulls
 from postlytics.llm.tokens import BYTES, WORD, Memo, PieceMap, cuts_at_space
 
 WINDOW = 512   # symbols merged at a time, besides the lookahead
@@ -269,12 +269,12 @@ def roundtrip_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id",
                 decoded.update(decode.finish().encode())
                 out.append((len(ids), digest.hexdigest(), decoded.hexdigest()))
             n, a, b = zip(*out) if out else ((), (), ())
-            yield pdf[["doc_id"]].assign(n_tokens=list(n), ids_sha256=list(a),
+            yield pdf[["doc_id", "no_id"]].assign(n_tokens=list(n), ids_sha256=list(a),
                                          decoded_sha256=list(b))
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    rows = docs.select(*whole_id(id_col), F.col(text_col).alias("text"))
+    return with_nulls(rows.mapInPandas(
+        run, "doc_id long, no_id boolean, n_tokens long, ids_sha256 string, decoded_sha256 string"))
 
 
 @register("op6_bpe_transducer")

@@ -55,6 +55,18 @@ def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def whole_id(id_col: str = "doc_id") -> list[Column]:
+    """The id as two columns without nulls: pandas turns a long column that holds a null
+    into floats, which have no room for ids above 2^53."""
+    doc = F.col(id_col).cast("long")
+    return [F.coalesce(doc, F.lit(0)).alias("doc_id"), doc.isNull().alias("no_id")]
+
+
+def with_nulls(df: DataFrame) -> DataFrame:
+    """The inverse of ``whole_id``."""
+    return df.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")
+
+
 def fold_az(text: Column) -> Column:
     """``text`` with A-Z (and nothing else) in lower case; null counts as empty.
 

@@ -15,13 +15,14 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlytics.llm.common import register, stored, table
+from postlytics.llm.common import register, stored, table, whole_id, with_nulls
 from postlytics.llm.tokens import text_encoder
 
 CAPACITY = 2048
 SHARD = 100_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+HELD = PIECES.replace("piece", "no_id boolean, piece")   # as Python gets them
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY,
@@ -35,17 +36,17 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAP
         encode, end = text_encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         for pdf in batches:
             out = []
-            for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+            for doc, none, text in zip(pdf["doc_id"], pdf["no_id"], pdf["text"], strict=True):
                 ids = encode(text) + end
                 n = len(ids) // 4
                 at, k, size = 0, 0, n if n <= capacity else n % capacity or capacity
                 while at < n:
-                    out.append((doc, k, at, size, zlib.crc32(ids[4 * at:4 * (at + size)])))
+                    out.append((doc, none, k, at, size, zlib.crc32(ids[4 * at:4 * (at + size)])))
                     at, k, size = at + size, k + 1, capacity
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+            yield pd.DataFrame(out, columns=["doc_id", "no_id", "piece", "start", "length", "ids_crc32"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, PIECES)
+    rows = docs.select(*whole_id(id_col), F.col(text_col).alias("text"))
+    return with_nulls(rows.mapInPandas(run, HELD))
 
 
 def sum_of_squares(lengths, capacity: int):
@@ -86,16 +87,16 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD) -
     shards = max(1, -(-pieces.count() // shard_rows))
 
     def run(pdf):
-        pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"],
-                              ascending=[False, True, True, True], kind="stable")
+        pdf = pdf.sort_values(["length", "no_id", "doc_id", "piece", "ids_crc32"],
+                              ascending=[False, True, True, True, True], kind="stable")
         where, offset = sum_of_squares(pdf["length"].to_numpy(), capacity)
         return pdf.assign(sequence_id=(pdf["shard"].to_numpy("int64") << 32) + where,
                           offset=offset).drop(columns="shard")
 
-    dealt = pieces.withColumn(
-        "shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("long"))
-    return (dealt.groupBy("shard")
-            .applyInPandas(run, PIECES + ", sequence_id long, offset long"))
+    shard = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("long")
+    dealt = pieces.select(*whole_id(), *pieces.columns[1:], shard.alias("shard"))
+    return with_nulls(dealt.groupBy("shard")
+                      .applyInPandas(run, HELD + ", sequence_id long, offset long"))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY,

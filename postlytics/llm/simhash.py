@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlytics.llm.common import register, stored, table
+from postlytics.llm.common import register, stored, table, whole_id, with_nulls
 from postlytics.llm.components import components
 
 SHINGLE = 4
@@ -183,12 +183,12 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE, id_col: str = "doc_id",
     """(doc_id, fp long, h): SimHash, and a hash of the text that tells rows of one id apart."""
     def run(batches):
         for pdf in batches:
-            yield pdf[["doc_id"]].assign(fp=[fingerprint(t, words) for t in pdf["text"]],
-                                         h=pdf["h"])
+            yield pdf[["doc_id", "no_id"]].assign(fp=[fingerprint(t, words) for t in pdf["text"]],
+                                                  h=pdf["h"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
+    rows = docs.select(*whole_id(id_col), F.col(text_col).alias("text"),
                        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"))
-    return rows.mapInPandas(run, "doc_id long, fp long, h long")
+    return with_nulls(rows.mapInPandas(run, "doc_id long, no_id boolean, fp long, h long"))
 
 
 def link_edges(fps: DataFrame, r: int = MAX_BITS, bands: int = BANDS,

@@ -292,8 +292,7 @@ def find_runs(docs: DataFrame, length: int) -> DataFrame:
                 data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
                 s0, s1, a, m, x = runs(data, length, min(GRAM, length))
                 if len(s0):
-                    out.append(pd.DataFrame({"id": pd.array([doc] * len(s0), "Int64"), "h": h,
-                                             "s0": s0, "s1": s1, "a": a, "m": m, "x": x}))
+                    out.append(pd.DataFrame({"id": doc, "h": h, "s0": s0, "s1": s1, "a": a, "m": m, "x": x}))
             if out:
                 yield pd.concat(out)
 
@@ -312,17 +311,15 @@ def merged_spans(spans) -> list[tuple[int, int]]:
 
 
 def _with(rows: DataFrame, more: DataFrame, how: str) -> DataFrame:
-    """``rows`` joined with ``more`` on (id, h), null ids included."""
-    a, b = rows.alias("a"), more.alias("b")
-    rest = [F.col(f"b.{c}") for c in more.columns if c not in ("id", "h")]
-    return a.join(b, F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.h") == F.col("b.h")),
-                  how).select("a.*", *rest)
+    """``rows`` joined with ``more`` on (id, h)."""
+    return rows.join(more, ["id", "h"], how).select(
+        *rows.columns, *[c for c in more.columns if c not in ("id", "h")])
 
 
 def repeated_spans(rows: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """(id, h, start, end) of repeated bytes of ``rows`` (id, h, text); spans may overlap."""
+    """(id, h, start, end) of repeated bytes of ``rows`` (id, h, text; no nulls); spans may overlap."""
     found = stored(find_runs(rows, length))
-    who = F.struct(F.col("id").isNull().alias("none"), "id", "h", "s0", "s1", "a")
+    who = F.struct("id", "h", "s0", "s1", "a")
     extents = stored(found.groupBy("m", "x").agg(F.count("*").alias("n"), F.min(who).alias("r")))
     shared = (extents.groupBy("m").agg(F.count("*").alias("g")).filter("g > 1"))
     whole = (found.join(extents.filter("n > 1").select("m", "x"), ["m", "x"])
@@ -342,8 +339,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
                 data = text.encode("utf-8", "surrogatepass")
                 out += [(doc, h, r["m"], r["n"], r["g"], r["s0"], r["a"],
                          data[r["s0"]:r["s1"] + length]) for r in reps]
-            yield pd.DataFrame(out, columns=["id", "h", "m", "n", "g", "s0", "a", "bytes"]).astype(
-                {"id": "Int64"})
+            yield pd.DataFrame(out, columns=["id", "h", "m", "n", "g", "s0", "a", "bytes"])
 
     pieces = stored(_with(rows, of_doc, "inner").mapInPandas(
         cut, "id long, h long, m long, n long, g long, s0 int, a int, bytes binary"))
@@ -358,7 +354,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
         hits = texts.matches(length, pdf["n"].to_numpy() == 1)
         i = np.array([x[0] for x in hits], np.int64)
         return pd.DataFrame({
-            "id": pdf["id"].iloc[i].astype("Int64").to_numpy(), "h": pdf["h"].to_numpy()[i],
+            "id": pdf["id"].to_numpy()[i], "h": pdf["h"].to_numpy()[i],
             "start": anchor[i] - np.array([x[2] for x in hits], np.int64),
             "end": anchor[i] - np.array([x[1] for x in hits], np.int64) + length})
 
@@ -377,8 +373,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
                 s = np.arange(len(data) - length + 1)
                 one, two = Hashes(data).of(s, s + length), Hashes(data, BASE2).of(s, s + length)
                 yield pd.DataFrame({
-                    "id": pd.array([None if pd.isna(row.id) else int(row.id)] * len(s), "Int64"),
-                    "h": row.h, "once": row.n == 1, "start": s + row.s0,
+                    "id": row.id, "h": row.h, "once": row.n == 1, "start": s + row.s0,
                     "one": mixed(one).view(np.int64), "two": mixed(two).view(np.int64)})
 
     windows = pieces.filter(F.col("g") > hot).mapInPandas(
@@ -399,9 +394,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     Null or repeated ids are told apart by a hash of the text; rows repeated in full are
     copies of each other. Other columns are ignored; an empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"),
-                       F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("h", F.xxhash64("text"))
+    # no column with nulls goes to Python (ids would become floats): the last bit of h says
+    # that a row has no id
+    none = F.col(id_col).isNull().cast("long")
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"),
+                       F.coalesce(F.col(text_col), F.lit("")).alias("text"), none.alias("none"))
+    rows = rows.select("id", "text", F.xxhash64("text").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("none")).alias("h"))
     spans = repeated_spans(rows, length, hot)
     of_doc = spans.groupBy("id", "h").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
@@ -410,27 +408,29 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
 
         for pdf in batches:
             out = []
-            for doc, text, spans in zip(pdf["id"], pdf["text"], pdf["spans"], strict=True):
+            for doc, h, text, spans in zip(pdf["id"], pdf["h"], pdf["text"], pdf["spans"], strict=True):
                 data = text.encode("utf-8", "surrogatepass")
                 gone = merged_spans((s["start"], s["end"]) for s in spans) if spans is not None else []
                 kept, at = [], 0
                 for s, e in gone:
                     kept.append(data[at:s])
                     at = e
-                out.append((doc, len(data), sum(e - s for s, e in gone), len(gone),
+                out.append((doc, h, len(data), sum(e - s for s, e in gone), len(gone),
                             b"".join([*kept, data[at:]])))
-            yield pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "n_spans", "kept"]).astype(
-                {"id": "Int64"})
+            yield pd.DataFrame(out, columns=["id", "h", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return (_with(rows, of_doc, "left").select("id", "text", "spans")
-            .mapInPandas(strip, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
-            .withColumnRenamed("id", id_col))
+    out = _with(rows, of_doc, "left").mapInPandas(
+        strip, "id long, h long, n_bytes long, n_removed long, n_spans long, kept binary")
+    has_id = F.col("h").bitwiseAND(F.lit(1)) == 0
+    return out.select(F.when(has_id, F.col("id")).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept")
 
 
 @register("op9_suffix_dedup")
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without bytes of 400-byte strings that occur twice. SQL would need a row
-    per byte: the tests compare with a brute-force count of all windows."""
+    """All documents without bytes of 400-byte strings that occur twice; ``text`` is what is
+    left, with U+FFFD for characters that a cut went through. SQL would need a row per byte:
+    the tests compare with a brute-force count of all windows."""
     out = remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans",
-                      F.sha2("kept", 256).alias("kept_sha256"))
+                      F.sha2("kept", 256).alias("kept_sha256"),
+                      F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))

@@ -22,13 +22,13 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlytics.llm.common import register, scratch_folder, stored, table
+from postlytics.llm.common import register, scratch_folder, stored, table, whole_id, with_nulls
 from postlytics.llm.tokens import text_encoder
 
 SEQUENCE = 1024   # tokens in a sequence
 ROWS = 256        # sequences in a record batch
 
-INDEX = "doc_id long, file string, shard int, place long, n_tokens long"
+INDEX = "doc_id long, no_id boolean, file string, shard int, place long, n_tokens long"
 
 
 def _filesystem(uri: str):
@@ -127,7 +127,7 @@ def write_sequences(docs: DataFrame, tokenizer: str, end_id: int, folder: str,
                     id_col: str = "doc_id", text_col: str = "text", sequence: int = SEQUENCE,
                     partitions: int | None = None) -> DataFrame:
     """Encodes whole texts (null: empty) and writes their ids, each document closed by
-    ``end_id``, in ascending id order (null ids first; repeated ids by text) to ``folder``.
+    ``end_id``, in ascending id order (null ids first; rows of one id by a hash of the text) to ``folder``.
 
     Returns the stored index (doc_id, file, shard, place, n_tokens). Shards are in id
     order. An empty table writes no file. Other columns are ignored.
@@ -157,17 +157,20 @@ def write_sequences(docs: DataFrame, tokenizer: str, end_id: int, folder: str,
                 places.append(writer.add(ids))
                 writer.add(end)
                 counts.append(len(ids) + 1)
-            yield pdf[["doc_id"]].assign(file=os.path.join(folder, name), shard=shard,
-                                         place=places, n_tokens=counts)
+            yield pdf[["doc_id", "no_id"]].assign(file=os.path.join(folder, name), shard=shard,
+                                                  place=places, n_tokens=counts)
         if writer is not None:
             writer.close()
             sink.close()
             fs.move(posixpath.join(base, "." + name), posixpath.join(base, name))
 
+    # the hash in the key keeps an id that many rows share, or null, from filling one partition
+    key = [F.col("doc_id"), F.xxhash64("text")]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ranged = (rows.repartitionByRange(partitions, "doc_id") if partitions
-              else rows.repartitionByRange("doc_id"))
-    return stored(ranged.sortWithinPartitions("doc_id", "text").mapInPandas(write, INDEX))
+    ranged = (rows.repartitionByRange(partitions, *key) if partitions
+              else rows.repartitionByRange(*key))
+    ordered = ranged.sortWithinPartitions(*key, "text").select(*whole_id(), "text")
+    return stored(with_nulls(ordered.mapInPandas(write, INDEX)))
 
 
 def read_digests(index: DataFrame) -> DataFrame:
@@ -196,11 +199,12 @@ def read_digests(index: DataFrame) -> DataFrame:
                     crc = zlib.crc32(part.astype("<u4").tobytes(), crc)
                 out_start.append(starts[file] + place)
                 out_crc.append(crc)
-            yield pdf[["doc_id", "n_tokens"]].assign(
+            yield pdf[["doc_id", "no_id", "n_tokens"]].assign(
                 start=np.array(out_start, "int64"), ids_crc32=np.array(out_crc, "int64"))[
-                ["doc_id", "start", "n_tokens", "ids_crc32"]]
+                ["doc_id", "no_id", "start", "n_tokens", "ids_crc32"]]
 
-    return index.mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return with_nulls(index.select(*whole_id(), "file", "place", "n_tokens").mapInPandas(
+        read, "doc_id long, no_id boolean, start long, n_tokens long, ids_crc32 long"))
 
 
 @register("op2_token_output")
