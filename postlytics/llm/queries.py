@@ -8,6 +8,6 @@ from postlytics.llm.common import QUERIES, LlmQuery
 def load_llm() -> dict[str, LlmQuery]:
     # importing the modules registers their queries
     from postlytics.llm import (  # noqa: F401
-        bpe, exact_dedup, line_dedup, mixing, packing, pii, quality, resampling, simhash, suffix_dedup,
+        alignment, bpe, exact_dedup, line_dedup, mixing, packing, pii, quality, resampling, simhash, suffix_dedup,
         token_output, topk)
     return QUERIES

@@ -94,9 +94,10 @@ class PieceMap:
 
 
 class TextEncoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes."""
+    """Ids of whole texts as little-endian unsigned 32-bit bytes. With ``plain`` the special
+    tokens' strings are ordinary text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -104,6 +105,7 @@ class TextEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.tokenizer.encode_special_tokens = plain
         self.vocab_size = max(chain(spec["model"]["vocab"].values(),
                                     (t["id"] for t in spec.get("added_tokens", [])))) + 1
         self.byte_level = spec["pre_tokenizer"]["type"] == "ByteLevel"
@@ -135,6 +137,6 @@ class TextEncoder:
 
 
 @cache
-def text_encoder(path: str) -> TextEncoder:
+def text_encoder(path: str, plain: bool = False) -> TextEncoder:
     """One encoder for each file and worker process."""
-    return TextEncoder(path)
+    return TextEncoder(path, plain)
