@@ -9,8 +9,12 @@ Both tokenizers cut the same bytes. With A (tokens x bytes) and B alike, both in
 * With G (token ids x groups) for either side, G_A G_B^T has for every pair of ids the
   number of its token pairs that share a group: the shared-group links.
 
-Documents are handled in blocks (the matrices are block-diagonal), products in blocks of
-rows, so memory does not grow with a table; a text is held as a whole.
+Neither side has a token across a space that follows other characters, so no group crosses
+it either: a text is a row of pieces, words mostly, that recur. A worker aligns the pieces
+that it has not met yet, a block of them at a time (the matrices are block-diagonal), and
+keeps a bounded table. The links of documents are the product of the counts (documents x
+pieces) and the pieces' links. Products are made in blocks of rows, and a long piece in
+segments, so only a text itself and its links are held as a whole.
 
 How many documents hold a pair of ids linked is counted over the corpus. The most frequent
 pairs, ``HOT_PAIRS`` at most, go to the workers as sorted arrays; other pairs, each in few
@@ -20,18 +24,23 @@ documents, are joined. Both paths are exact.
 from __future__ import annotations
 
 import json
+import re
 from functools import cache
+from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postlytics.llm.common import register, stored, table, whole_id, with_nulls
-from postlytics.llm.tokens import BYTES, text_encoder
+from postlytics.llm.tokens import BYTES, TextEncoder, cuts_at_space
 from postlytics.session import ship_package
 
-BLOCK_BYTES = 1 << 20     # of texts aligned together
+BLOCK_BYTES = 1 << 19     # of texts, and of new pieces, aligned together; of a segment
+PIECES = 150_000          # pieces a worker keeps
 BLOCK_PRODUCTS = 1 << 20  # products of a matrix multiplication held at a time
 HOT_PAIRS = 1 << 20       # pairs of ids whose counts every worker holds at most
+CUT = re.compile(r"(?<=\S)(?= )")
+ODD_SPACE = re.compile(r"  |[^\S \n]|\n |^\s| $")
 
 
 class CSR:
@@ -108,7 +117,7 @@ class CSR:
 
 
 class Sides:
-    """The two tokenizers: ids of a text, and the bytes of every id."""
+    """The two tokenizers: ids of a piece, and the bytes of every id."""
 
     def __init__(self, byte_json: str, piece_model: str):
         import numpy as np
@@ -121,38 +130,52 @@ class Sides:
         self.a_bytes = [b""] * size
         for s, i in spec["model"]["vocab"].items():
             self.a_bytes[i] = bytes(back[c] for c in s) if all(c in back for c in s) else s.encode()
-        self.encode_a = text_encoder(byte_json, True)
+        self.encode_a = TextEncoder(byte_json, True, PIECES // 3)
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=piece_model)
         n = self.pieces.get_piece_size()
+        names = [self.pieces.id_to_piece(i) for i in range(n)]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.pieces.is_byte(i) else p.replace("▁", " ").encode()
-                        for i, p in ((i, self.pieces.id_to_piece(i)) for i in range(n))]
+                        for i, p in enumerate(names)]
+        self.blank = self.pieces.piece_to_id("▁")
+        # whether no token of either side reaches over a space that follows other characters
+        self.cuts = cuts_at_space(spec) and not any(re.search("[^▁]▁", p) for p in names)
         self.a_size = np.array(list(map(len, self.a_bytes)), np.int64)
         self.b_size = np.array(list(map(len, self.b_bytes)), np.int64)
         self.a_name, self.b_name = list(map(str, range(size))), list(map(str, range(n)))
 
-    def ids(self, texts: list[str | None]) -> list[tuple | None]:
-        """(ids of A, ids of B) per text; None without text, or where the bytes of either side
-        aren't the text's."""
+    def split(self, text: str | None) -> list[str]:
+        """The pieces of a text, each without the space before it."""
+        if not text:
+            return []
+        if not self.cuts:
+            return [text]
+        if ODD_SPACE.search(text):
+            return [p[1:] for p in CUT.split(" " + text)]
+        return text.split(" ")
+
+    def ids(self, pieces: list[str]):
+        """Ids of pieces and the spaces before them: (ids of A, how many in each piece, ids of B, how
+        many, whether both sides' bytes are the text's)."""
         import numpy as np
 
-        out = []
-        for text, b in zip(texts, self.pieces.encode([t or "" for t in texts], num_threads=1),
-                           strict=True):
-            if not text:
-                out.append(None)
-                continue
-            said = (" " + text).encode("utf-8", "surrogatepass")
-            a = np.frombuffer(self.encode_a(" " + text), "<u4").astype(np.int64)
-            same = (b"".join(map(self.b_bytes.__getitem__, b)) == said
-                    and b"".join(map(self.a_bytes.__getitem__, a.tolist())) == said)
-            out.append((a, np.array(b, np.int64)) if same else None)
-        return out
-
-
-@cache
-def sides(byte_json: str, piece_model: str) -> Sides:
-    """The tokenizers, once for each worker process."""
-    return Sides(byte_json, piece_model)
+        of_a = [self.encode_a._make(" " + t) for t in pieces]
+        of_b = [b if t else [self.blank] for t, b in
+                zip(pieces, self.pieces.encode(pieces, num_threads=1), strict=True)]
+        a = np.frombuffer(b"".join(of_a), "<u4").astype(np.int64)
+        n_a = np.array(list(map(len, of_a)), np.int64) // 4
+        n_b = np.array(list(map(len, of_b)), np.int64)
+        b = np.fromiter(chain.from_iterable(of_b), np.int64, int(n_b.sum()))
+        same = np.ones(len(pieces), bool)
+        said = (" " + " ".join(pieces)).encode("utf-8", "surrogatepass")
+        left, right = (b"".join(map(x.__getitem__, ids.tolist()))
+                       for x, ids in ((self.a_bytes, a), (self.b_bytes, b)))
+        if not left == right == said:   # some differ: one by one
+            at_a, at_b = (np.cumsum(np.concatenate([[0], np.add.reduceat(size[ids], np.cumsum(n) - n)]))
+                          for size, ids, n in ((self.a_size, a, n_a), (self.b_size, b, n_b)))
+            for i, t in enumerate(pieces):
+                text = (" " + t).encode("utf-8", "surrogatepass")
+                same[i] = left[at_a[i]:at_a[i + 1]] == text == right[at_b[i]:at_b[i + 1]]
+        return a, n_a, b, n_b, same
 
 
 def _starts(flags):
@@ -162,58 +185,214 @@ def _starts(flags):
 
 
 class Aligned:
-    """Alignment of some texts at once: ``a`` and ``b`` are their ids, one array for each text.
+    """Alignment of the tokens ``a`` and ``b`` of some texts; ``of_a`` and ``of_b`` say (in
+    ascending order) whose they are.
 
     ``overlaps`` is A B^T over all tokens; ``a_group`` and ``b_group`` are the tokens' groups,
     counted through all texts; ``links`` is G_A G_B^T, whose rows and columns stand for the
-    distinct (text, id) of ``a_key`` and ``b_key`` (text << 32 | id)."""
+    distinct (owner, id) of ``a_key`` and ``b_key`` (owner << 32 | id)."""
 
-    def __init__(self, a: list, b: list, a_size, b_size):
+    def __init__(self, a, b, a_size, b_size, of_a, of_b):
         import numpy as np
 
-        ids_a, ids_b = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (a, b))
-        left = CSR.of_spans(np.cumsum(a_size[ids_a]))
-        right = CSR.of_spans(np.cumsum(b_size[ids_b]))
+        left = CSR.of_spans(np.cumsum(a_size[a]))
+        right = CSR.of_spans(np.cumsum(b_size[b]))
         self.overlaps = left.times(right.transposed())
         i, j = self.overlaps.rows(), self.overlaps.indices
         new = (np.diff(i, prepend=-1) != 0) & (np.diff(j, prepend=-1) != 0)
         group = np.cumsum(new) - 1
-        self.n_groups = int(new.sum())
+        self.n_groups = n = int(new.sum())
         self.a_group = group[_starts(np.diff(i, prepend=-1))]
         self.b_group = group[_starts(np.diff(j, prepend=-1))]
-        text_a = np.repeat(np.arange(len(a)), list(map(len, a))).astype(np.int64)
-        text_b = np.repeat(np.arange(len(b)), list(map(len, b))).astype(np.int64)
-        self.a_key, row = np.unique(text_a << 32 | ids_a, return_inverse=True)
-        self.b_key, col = np.unique(text_b << 32 | ids_b, return_inverse=True)
-        one = np.ones(max(len(ids_a), len(ids_b)), np.int64)
-        n = self.n_groups
-        in_a = CSR.of_pairs(row, self.a_group, one[:len(row)], len(self.a_key), n)
-        in_b = CSR.of_pairs(col, self.b_group, one[:len(col)], len(self.b_key), n)
+        self.a_key, row = np.unique(of_a << 32 | a, return_inverse=True)
+        self.b_key, col = np.unique(of_b << 32 | b, return_inverse=True)
+        in_a = CSR.of_pairs(row, self.a_group, np.ones(len(row), np.int64), len(self.a_key), n)
+        in_b = CSR.of_pairs(col, self.b_group, np.ones(len(col), np.int64), len(self.b_key), n)
         self.links = in_a.times(in_b.transposed())
 
-    def pairs(self, texts: int):
-        """(pair of ids as a << 32 | b, number of its links) of every text."""
-        import numpy as np
-
+    def pairs(self):
+        """Arrays (owner, pair of ids as a << 32 | b, number of its links)."""
         key = self.a_key[self.links.rows()]
         ids = (key & 0xFFFFFFFF) << 32 | self.b_key[self.links.indices] & 0xFFFFFFFF
-        cut = np.searchsorted(key >> 32, np.arange(1, texts))
-        return zip(np.split(ids, cut), np.split(self.links.data, cut), strict=True)
+        return key >> 32, ids, self.links.data
 
 
-def _groups_text(names_a, names_b, group_a, group_b) -> str:
-    """``a1,a2|b1;a3|b2,b3`` of the tokens of one text and their groups."""
+def segments(a, b, a_size, b_size, most: int):
+    """Ids of both sides cut where both have a token's end, about every ``most`` bytes."""
     import numpy as np
 
-    lo_a, lo_b = (_starts(np.diff(g, prepend=-1)).tolist() for g in (group_a, group_b))
-    join = ",".join
-    return ";".join([
-        names_a[p] + "|" + names_b[r] if q - p == 1 == s - r else join(names_a[p:q]) + "|" + join(names_b[r:s])
-        for p, q, r, s in zip(lo_a, [*lo_a[1:], len(names_a)], lo_b, [*lo_b[1:], len(names_b)], strict=True)])
+    ends_a, ends_b = np.cumsum(a_size[a]), np.cumsum(b_size[b])
+    if ends_a[-1] <= most:
+        return [(a, b)]
+    both = np.intersect1d(ends_a, ends_b, assume_unique=True)
+    cuts = both[np.searchsorted(both, np.arange(most, ends_a[-1], most))]
+    cuts = np.unique(cuts[cuts < ends_a[-1]])
+    return list(zip(np.split(a, np.searchsorted(ends_a, cuts) + 1),
+                    np.split(b, np.searchsorted(ends_b, cuts) + 1), strict=True))
+
+
+class PieceTable:
+    """The alignments of about ``PIECES`` pieces (or of those that a block needs): numbers
+    (n_a, n_b, n_groups, n_links, n_overlaps), groups as text, and linked pairs in CSR form. A
+    full table keeps the half that was used most."""
+
+    def __init__(self, sides: Sides):
+        import numpy as np
+
+        self.sides = sides
+        self.slot: dict[str, int] = {}
+        self.said: list[str | None] = []     # None: the bytes differ
+        self.uses, self.numbers = np.zeros(0, np.int64), np.zeros((0, 5), np.int64)
+        self.indptr, self.pairs, self.times = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def slots(self, pieces: list[str]):
+        """The places of pieces in the table, new ones aligned."""
+        import numpy as np
+
+        new = set(pieces).difference(self.slot)
+        if new and len(self.slot) + len(new) > PIECES:
+            self._keep(np.sort(np.argsort(-self.uses, kind="stable")[:PIECES // 2]))
+            new = set(pieces).difference(self.slot)
+        if new:
+            self._add(sorted(new))
+        out = np.fromiter(map(self.slot.__getitem__, pieces), np.int64, len(pieces))
+        self.uses += np.bincount(out, minlength=len(self.uses))
+        return out
+
+    def _keep(self, places) -> None:
+        import numpy as np
+
+        names = list(self.slot)
+        self.slot = {names[i]: k for k, i in enumerate(places.tolist())}
+        self.said = list(map(self.said.__getitem__, places.tolist()))
+        at, sizes = self._entries(places)
+        self.pairs, self.times = self.pairs[at], self.times[at]
+        self.indptr = np.concatenate([[0], np.cumsum(sizes)])
+        self.uses, self.numbers = self.uses[places] // 2, self.numbers[places]
+
+    def _entries(self, places):
+        """(indices of the pairs of some places, how many of each)."""
+        import numpy as np
+
+        sizes = np.diff(self.indptr)[places]
+        return np.arange(sizes.sum()) + np.repeat(self.indptr[places] - (np.cumsum(sizes) - sizes), sizes), sizes
+
+    def _add(self, new: list[str]) -> None:
+        import numpy as np
+
+        base, numbers, said, found = len(self.said), np.zeros((len(new), 5), np.int64), [], []
+        self.slot.update(zip(new, range(base, base + len(new)), strict=True))
+        lo = held = 0
+        for hi, piece in enumerate(new, 1):
+            held += len(piece) + 1
+            if held >= BLOCK_BYTES or hi == len(new):
+                found.append(self._align(new[lo:hi], lo, numbers, said))
+                lo, held = hi, 0
+        owner, pairs, times = (np.concatenate([f[k] for f in found]) for k in range(3))
+        ids, col = np.unique(pairs, return_inverse=True)
+        links = CSR.of_pairs(owner, col, times, len(new), max(len(ids), 1))
+        numbers[:, 3] = np.bincount(links.rows(), links.data, len(new))
+        self.numbers = np.concatenate([self.numbers, numbers])
+        self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
+        self.said += said
+        self.indptr = np.concatenate([self.indptr, self.indptr[-1] + links.indptr[1:]])
+        self.pairs = np.concatenate([self.pairs, ids[links.indices] if len(ids) else pairs])
+        self.times = np.concatenate([self.times, links.data])
+
+    def _align(self, pieces: list[str], first: int, numbers, said: list):
+        """Aligns pieces at once (their numbers are written from row ``first`` on, their groups added
+        to ``said``); arrays (row, pair, times)."""
+        import numpy as np
+
+        s = self.sides
+        a, n_a, b, n_b, same = s.ids(pieces)
+        if not same.all():
+            a, b = a[np.repeat(same, n_a)], b[np.repeat(same, n_b)]
+            n_a, n_b = n_a * same, n_b * same
+        of_a, of_b = (np.repeat(np.arange(first, first + len(pieces)), n) for n in (n_a, n_b))
+        if len(pieces) > 1 or not same[0]:
+            return self._segment(a, b, of_a, of_b, n_a, numbers, first, said)
+        texts, found = [], []                 # one piece, perhaps a very long one
+        for x, y in segments(a, b, s.a_size, s.b_size, BLOCK_BYTES):
+            found.append(self._segment(x, y, of_a[:len(x)], of_b[:len(y)], np.array([len(x)]), numbers, first, texts))
+        said.append(";".join(texts))
+        return tuple(np.concatenate([f[k] for f in found]) for k in range(3))
+
+    def _segment(self, a, b, of_a, of_b, n_a, numbers, first: int, said: list):
+        import numpy as np
+
+        s = self.sides
+        if not len(a):
+            said += [None] * len(n_a)
+            return (np.zeros(0, np.int64),) * 3
+        met = Aligned(a, b, s.a_size, s.b_size, of_a, of_b)
+        last = np.cumsum(n_a)
+        have = n_a > 0
+        # the first and the last group of every piece
+        lo, hi = np.zeros(len(n_a), np.int64), np.zeros(len(n_a), np.int64)
+        lo[have] = met.a_group[(last - n_a)[have]]
+        hi[have] = met.a_group[last[have] - 1] + 1
+        rows = slice(first, first + len(n_a))
+        overlaps = np.diff(met.overlaps.indptr[np.concatenate([[0], last])])
+        n_b = np.bincount(of_b - first, minlength=len(n_a))
+        numbers[rows] += np.stack([n_a, n_b, hi - lo, np.zeros_like(n_a), overlaps], axis=1)
+        # a1,a2|b1 of every group, then the groups of every piece
+        names_a = list(map(s.a_name.__getitem__, a.tolist()))
+        names_b = list(map(s.b_name.__getitem__, b.tolist()))
+        lo_a, lo_b = (_starts(np.diff(g, prepend=-1)).tolist() for g in (met.a_group, met.b_group))
+        join = ",".join
+        groups = [names_a[p] + "|" + names_b[r] if q - p == 1 == t - r else
+                  join(names_a[p:q]) + "|" + join(names_b[r:t])
+                  for p, q, r, t in zip(lo_a, [*lo_a[1:], len(names_a)], lo_b, [*lo_b[1:], len(names_b)],
+                                        strict=True)]
+        join = ";".join
+        said += [None if g == h else groups[g] if g + 1 == h else join(groups[g:h])
+                 for g, h in zip(lo.tolist(), hi.tolist(), strict=True)]
+        return met.pairs()
+
+    def links(self, used) -> tuple[CSR, list]:
+        """(links of some places, columns standing for the pairs of the array returned)."""
+        import numpy as np
+
+        at, sizes = self._entries(used)
+        ids, col = np.unique(self.pairs[at], return_inverse=True)
+        row = np.repeat(np.arange(len(used)), sizes)
+        return CSR.of_pairs(row, col, self.times[at], len(used), max(len(ids), 1)), ids
 
 
 ALIGNED = ("doc_id long, no_id boolean, n_a long, n_b long, n_groups long, n_links long, "
            "n_overlaps long, groups string, pairs array<long>, times array<long>")
+NUMBERS = ["n_a", "n_b", "n_groups", "n_links", "n_overlaps"]
+
+
+@cache
+def piece_table(byte_json: str, piece_model: str) -> PieceTable:
+    """The tokenizers and the table, once for each worker process."""
+    return PieceTable(Sides(byte_json, piece_model))
+
+
+def align_texts(table: PieceTable, texts: list[str | None]) -> dict[str, list]:
+    """Columns of ``ALIGNED`` (but for the ids) of some texts."""
+    import numpy as np
+
+    split = list(map(table.sides.split, texts))
+    lengths = np.array(list(map(len, split)), np.int64)
+    slots = table.slots(list(chain.from_iterable(split)))
+    ends = np.cumsum(lengths)
+    text = np.repeat(np.arange(len(texts)), lengths)
+    said = [list(map(table.said.__getitem__, slots[e - n:e].tolist())) for e, n in zip(ends, lengths, strict=True)]
+    whole = np.array([None not in x for x in said], bool)
+    keep = whole[text]
+    text, slots = text[keep], slots[keep]
+    out = {name: np.bincount(text, table.numbers[slots, k], len(texts)).astype(np.int64)
+           for k, name in enumerate(NUMBERS)}
+    used, col = np.unique(slots, return_inverse=True)
+    links, ids = table.links(used)
+    of_text = CSR.of_pairs(text, col, np.ones(len(col), np.int64), len(texts), max(len(used), 1)).times(links)
+    cut = of_text.indptr[1:-1]
+    return out | {"groups": [";".join(x) if ok else "" for x, ok in zip(said, whole, strict=True)],
+                  "pairs": np.split(ids[of_text.indices] if len(ids) else np.zeros(0, np.int64), cut),
+                  "times": np.split(of_text.data, cut)}
 
 
 def align(docs: DataFrame, byte_json: str, piece_model: str, id_col: str = "doc_id",
@@ -228,39 +407,15 @@ def align(docs: DataFrame, byte_json: str, piece_model: str, id_col: str = "doc_
     """
     ship_package(docs.sparkSession)
 
-    def some(pdf, texts):
-        import numpy as np
-
-        both = sides(byte_json, piece_model)
-        ids = both.ids(texts)
-        at = [i for i, x in enumerate(ids) if x is not None]
-        a, b = [ids[i][0] for i in at], [ids[i][1] for i in at]
-        met = Aligned(a, b, both.a_size, both.b_size)
-        row_ends = np.cumsum([len(x) for x in a])
-        links = met.overlaps.indptr[np.concatenate([[0], row_ends])] if at else None
-        none = np.zeros(0, np.int64)
-        out = [(0, 0, 0, 0, 0, "", none, none)] * len(texts)
-        lo_a = lo_b = 0
-        for k, (i, (pairs, times)) in enumerate(zip(at, met.pairs(len(at)) if at else ())):
-            n_a, n_b = len(a[k]), len(b[k])
-            group_a, group_b = met.a_group[lo_a:lo_a + n_a], met.b_group[lo_b:lo_b + n_b]
-            lo_a, lo_b = lo_a + n_a, lo_b + n_b
-            said = _groups_text(list(map(both.a_name.__getitem__, a[k].tolist())),
-                                list(map(both.b_name.__getitem__, b[k].tolist())), group_a, group_b)
-            out[i] = (n_a, n_b, int(group_a[-1] - group_a[0]) + 1, int(times.sum()),
-                      int(links[k + 1] - links[k]), said, pairs, times)
-        names = ["n_a", "n_b", "n_groups", "n_links", "n_overlaps", "groups", "pairs", "times"]
-        return pdf[["doc_id", "no_id"]].assign(**dict(zip(names, map(list, zip(*out, strict=True)),
-                                                          strict=True)))
-
     def run(batches):
+        table = piece_table(byte_json, piece_model)
         for pdf in batches:
             lo = held = 0
             texts = pdf["text"].tolist()
             for hi, text in enumerate(texts, 1):
                 held += len(text or "")
                 if held >= BLOCK_BYTES or hi == len(texts):
-                    yield some(pdf.iloc[lo:hi], texts[lo:hi])
+                    yield pdf[["doc_id", "no_id"]].iloc[lo:hi].assign(**align_texts(table, texts[lo:hi]))
                     lo, held = hi, 0
 
     rows = docs.select(*whole_id(id_col), F.col(text_col).alias("text"))
@@ -294,7 +449,7 @@ def with_counts(aligned: DataFrame, hot_pairs: int = HOT_PAIRS) -> DataFrame:
     hot = counts.where(F.lit(False) if cut is None else step >= cut).toPandas().sort_values("pair")
     shared = rows.sparkSession.sparkContext.broadcast(
         (hot["pair"].to_numpy("int64"), hot["n"].to_numpy("int64"), hot["top"].to_numpy("bool")))
-    numbers = ["n_a", "n_b", "n_groups", "n_links", "n_overlaps", "groups_sha256"]
+    numbers = [*NUMBERS, "groups_sha256"]
 
     def look_up(batches):
         import numpy as np

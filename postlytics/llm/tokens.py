@@ -51,10 +51,10 @@ BYTES = _byte_alphabet()
 
 class Memo(dict):
     """piece -> value, computed when missing. Holds two generations of at most
-    ``MAX_ENTRIES``: what is used again outlives a full table."""
+    ``entries``: what is used again outlives a full table."""
 
-    def __init__(self, make, prefix: str = ""):
-        self.make, self.prefix, self.old = make, prefix, {}
+    def __init__(self, make, prefix: str = "", entries: int = MAX_ENTRIES):
+        self.make, self.prefix, self.entries, self.old = make, prefix, entries, {}
 
     def __missing__(self, piece: str):
         value = self.old.get(piece)
@@ -62,7 +62,7 @@ class Memo(dict):
             value = self.make(self.prefix + piece)
             if len(piece) > MAX_PIECE:
                 return value
-        if len(self) >= MAX_ENTRIES:
+        if len(self) >= self.entries:
             self.old = dict(self)
             self.clear()
         self[piece] = value
@@ -95,9 +95,9 @@ class PieceMap:
 
 class TextEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes. With ``plain`` the special
-    tokens' strings are ordinary text."""
+    tokens' strings are ordinary text. Words met are kept, about twice ``entries`` of them."""
 
-    def __init__(self, path: str, plain: bool = False):
+    def __init__(self, path: str, plain: bool = False, entries: int = MAX_ENTRIES):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -110,7 +110,7 @@ class TextEncoder:
                                     (t["id"] for t in spec.get("added_tokens", [])))) + 1
         self.byte_level = spec["pre_tokenizer"]["type"] == "ByteLevel"
         self.parts = PieceMap(self._make, cuts_at_space(spec))
-        self.cores, self.tails = Memo(self._core), Memo(self._encode)
+        self.cores, self.tails = (Memo(make, entries=entries) for make in (self._core, self._encode))
 
     def _encode(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -137,6 +137,6 @@ class TextEncoder:
 
 
 @cache
-def text_encoder(path: str, plain: bool = False) -> TextEncoder:
+def text_encoder(path: str) -> TextEncoder:
     """One encoder for each file and worker process."""
-    return TextEncoder(path, plain)
+    return TextEncoder(path)

@@ -75,6 +75,7 @@ ODD = ["<|endoftext|> a <s> b</s>", "▁ under", "tab\tline\n\n  two", " lead",
 @pytest.mark.parametrize("hot,block", [(op.HOT_PAIRS, op.BLOCK_BYTES), (60, 500), (0, 40)])
 def test_against_brute_force(spark, tools, monkeypatch, hot, block):
     monkeypatch.setattr(op, "BLOCK_BYTES", block)
+    monkeypatch.setattr(op, "PIECES", block)
     texts = ODD + random_texts(4, 80)
     rows = EDGE + [(100 + i, t) for i, t in enumerate(texts)] + [((1 << 60) + 1, ODD[4])]
     docs = edge_docs(spark).select("doc_id", "text", "n", "h").unionByName(
@@ -112,11 +113,12 @@ def test_products_equal_dense_ones():
 
 def test_groups_end_where_both_sides_end():
     # 3+2+4 bytes against 2+3+1+3: both end after 5 and 9
-    met = op.Aligned([np.array([1, 2, 3])], [np.array([0, 1, 2, 1])], np.array([0, 3, 2, 4]), np.array([2, 3, 1]))
+    met = op.Aligned(np.array([1, 2, 3]), np.array([0, 1, 2, 1]), np.array([0, 3, 2, 4]), np.array([2, 3, 1]),
+                     np.zeros(3, int), np.zeros(4, int))
     assert met.overlaps.rows().tolist() == [0, 0, 1, 2, 2]
     assert met.overlaps.indices.tolist() == [0, 1, 1, 2, 3] and met.overlaps.data.tolist() == [2, 1, 2, 1, 3]
     assert met.a_group.tolist() == [0, 0, 1] and met.b_group.tolist() == [0, 0, 1, 1]
-    pairs, times = next(met.pairs(1))
+    _, pairs, times = met.pairs()
     assert dict(zip(pairs.tolist(), times.tolist())) == {
         1 << 32: 1, 1 << 32 | 1: 1, 2 << 32: 1, 2 << 32 | 1: 1, 3 << 32 | 1: 1, 3 << 32 | 2: 1}
 
@@ -135,7 +137,9 @@ def test_overlaps_count_shared_bytes():
             while b.max() > 5:
                 b = cut()
             texts.append((a - 1, b - 1))
-        met = op.Aligned([a for a, _ in texts], [b for _, b in texts], sizes, sizes)
+        flat = [np.concatenate([np.zeros(0, int), *x]) for x in ([a for a, _ in texts], [b for _, b in texts])]
+        owner = [np.repeat(np.arange(len(texts)), [len(x) for x in y]) for y in ([a for a, _ in texts], [b for _, b in texts])]
+        met = op.Aligned(*flat, sizes, sizes, *owner)
         want, at_a, at_b = Counter(), 0, 0
         for a, b in texts:
             rows, cols = np.repeat(np.arange(len(a)), a + 1), np.repeat(np.arange(len(b)), b + 1)
