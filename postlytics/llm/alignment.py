@@ -32,12 +32,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postlytics.llm.common import register, stored, table, whole_id, with_nulls
-from postlytics.llm.tokens import BYTES, TextEncoder, cuts_at_space
+from postlytics.llm.tokens import BYTES, cuts_at_space
 from postlytics.session import ship_package
 
-BLOCK_BYTES = 1 << 19     # of texts, and of new pieces, aligned together; of a segment
-PIECES = 150_000          # pieces a worker keeps
-BLOCK_PRODUCTS = 1 << 20  # products of a matrix multiplication held at a time
+BLOCK_BYTES = 1 << 16     # of texts, and of new pieces, aligned together; of a segment: arrays
+                          # of a block stay in the processor's cache
+OUT_BYTES = 1 << 20       # of texts whose results are handed on together
+PIECES = 250_000          # pieces a worker keeps
+BLOCK_PRODUCTS = 1 << 18  # products of a matrix multiplication held at a time
 HOT_PAIRS = 1 << 20       # pairs of ids whose counts every worker holds at most
 CUT = re.compile(r"(?<=\S)(?= )")
 ODD_SPACE = re.compile(r"  |[^\S \n]|\n |^\s| $")
@@ -122,6 +124,7 @@ class Sides:
     def __init__(self, byte_json: str, piece_model: str):
         import numpy as np
         import sentencepiece
+        from tokenizers import Tokenizer
 
         with open(byte_json, encoding="utf-8") as f:
             spec = json.load(f)
@@ -130,7 +133,10 @@ class Sides:
         self.a_bytes = [b""] * size
         for s, i in spec["model"]["vocab"].items():
             self.a_bytes[i] = bytes(back[c] for c in s) if all(c in back for c in s) else s.encode()
-        self.encode_a = TextEncoder(byte_json, True, PIECES // 3)
+        self.a = Tokenizer.from_file(byte_json)
+        self.a.no_truncation()
+        self.a.no_padding()
+        self.a.encode_special_tokens = True     # their strings are ordinary text
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=piece_model)
         n = self.pieces.get_piece_size()
         names = [self.pieces.id_to_piece(i) for i in range(n)]
@@ -153,29 +159,40 @@ class Sides:
             return [p[1:] for p in CUT.split(" " + text)]
         return text.split(" ")
 
+    def plain(self, piece: str) -> bool:
+        """Whether another piece may follow in one text without a change to this one's tokens."""
+        return self.cuts and piece != "" and not piece[-1].isspace() and "▁" not in piece
+
     def ids(self, pieces: list[str]):
         """Ids of pieces and the spaces before them: (ids of A, how many in each piece, ids of B, how
-        many, whether both sides' bytes are the text's)."""
+        many, whether both sides' bytes are the text's). Plain pieces are encoded as one text, and
+        its ids dealt to them by their bytes; others, and all if that fails, one by one."""
+        import numpy as np
+
+        if len(pieces) > 1 and all(map(self.plain, pieces)):
+            text = " ".join(pieces)
+            a, b, same = self._encoded(text)
+            bounds = np.cumsum([len(p.encode("utf-8", "surrogatepass")) + 1 for p in pieces])
+            ends = [np.cumsum(size[x]) for size, x in ((self.a_size, a), (self.b_size, b))]
+            upto = [np.searchsorted(e, bounds, "right") for e in ends]
+            if same and all((e[u - 1] == bounds).all() for e, u in zip(ends, upto, strict=True)):
+                n_a, n_b = (np.diff(u, prepend=0) for u in upto)
+                return a, n_a, b, n_b, np.ones(len(pieces), bool)
+        each = [self._encoded(p) for p in pieces]
+        a, b = (np.concatenate([e[k] for e in each]) for k in (0, 1))
+        n_a, n_b = (np.array([len(e[k]) for e in each], np.int64) for k in (0, 1))
+        return a, n_a, b, n_b, np.array([e[2] for e in each], bool)
+
+    def _encoded(self, text: str):
+        """(ids of A of a space and the text, ids of B, whether the bytes of both are these)."""
         import numpy as np
 
-        of_a = [self.encode_a._make(" " + t) for t in pieces]
-        of_b = [b if t else [self.blank] for t, b in
-                zip(pieces, self.pieces.encode(pieces, num_threads=1), strict=True)]
-        a = np.frombuffer(b"".join(of_a), "<u4").astype(np.int64)
-        n_a = np.array(list(map(len, of_a)), np.int64) // 4
-        n_b = np.array(list(map(len, of_b)), np.int64)
-        b = np.fromiter(chain.from_iterable(of_b), np.int64, int(n_b.sum()))
-        same = np.ones(len(pieces), bool)
-        said = (" " + " ".join(pieces)).encode("utf-8", "surrogatepass")
-        left, right = (b"".join(map(x.__getitem__, ids.tolist()))
-                       for x, ids in ((self.a_bytes, a), (self.b_bytes, b)))
-        if not left == right == said:   # some differ: one by one
-            at_a, at_b = (np.cumsum(np.concatenate([[0], np.add.reduceat(size[ids], np.cumsum(n) - n)]))
-                          for size, ids, n in ((self.a_size, a, n_a), (self.b_size, b, n_b)))
-            for i, t in enumerate(pieces):
-                text = (" " + t).encode("utf-8", "surrogatepass")
-                same[i] = left[at_a[i]:at_a[i + 1]] == text == right[at_b[i]:at_b[i + 1]]
-        return a, n_a, b, n_b, same
+        a = np.array(self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, np.int64)
+        b = np.array(self.pieces.encode(text) if text else [self.blank], np.int64)
+        said = (" " + text).encode("utf-8", "surrogatepass")
+        same = all(b"".join(map(names.__getitem__, ids.tolist())) == said
+                   for names, ids in ((self.a_bytes, a), (self.b_bytes, b)))
+        return a, b, same
 
 
 def _starts(flags):
@@ -231,6 +248,34 @@ def segments(a, b, a_size, b_size, most: int):
                     np.split(b, np.searchsorted(ends_b, cuts) + 1), strict=True))
 
 
+class Growing:
+    """Rows of numbers that are appended to, in an array with room for more."""
+
+    def __init__(self, *shape: int):
+        import numpy as np
+
+        self.held, self.n = np.zeros((1024, *shape), np.int64), 0
+
+    @property
+    def rows(self):
+        return self.held[:self.n]
+
+    def add(self, values) -> None:
+        import numpy as np
+
+        end = self.n + len(values)
+        if end > len(self.held):
+            more = np.zeros((2 * end, *self.held.shape[1:]), np.int64)
+            more[:self.n] = self.rows
+            self.held = more
+        self.held[self.n:end] = values
+        self.n = end
+
+    def keep(self, at) -> None:
+        rows = self.held[at]
+        self.held[:len(rows)], self.n = rows, len(rows)
+
+
 class PieceTable:
     """The alignments of about ``PIECES`` pieces (or of those that a block needs): numbers
     (n_a, n_b, n_groups, n_links, n_overlaps), groups as text, and linked pairs in CSR form. A
@@ -242,8 +287,9 @@ class PieceTable:
         self.sides = sides
         self.slot: dict[str, int] = {}
         self.said: list[str | None] = []     # None: the bytes differ
-        self.uses, self.numbers = np.zeros(0, np.int64), np.zeros((0, 5), np.int64)
-        self.indptr, self.pairs, self.times = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.uses, self.numbers = Growing(), Growing(5)
+        self.start, self.size = Growing(), Growing()     # of a piece's pairs
+        self.pairs, self.times = Growing(), Growing()
 
     def slots(self, pieces: list[str]):
         """The places of pieces in the table, new ones aligned."""
@@ -251,12 +297,12 @@ class PieceTable:
 
         new = set(pieces).difference(self.slot)
         if new and len(self.slot) + len(new) > PIECES:
-            self._keep(np.sort(np.argsort(-self.uses, kind="stable")[:PIECES // 2]))
+            self._keep(np.sort(np.argsort(-self.uses.rows, kind="stable")[:PIECES // 2]))
             new = set(pieces).difference(self.slot)
         if new:
-            self._add(sorted(new))
+            self._add(sorted(new, key=lambda p: (not self.sides.plain(p), p)))
         out = np.fromiter(map(self.slot.__getitem__, pieces), np.int64, len(pieces))
-        self.uses += np.bincount(out, minlength=len(self.uses))
+        np.add.at(self.uses.held, out, 1)
         return out
 
     def _keep(self, places) -> None:
@@ -266,38 +312,46 @@ class PieceTable:
         self.slot = {names[i]: k for k, i in enumerate(places.tolist())}
         self.said = list(map(self.said.__getitem__, places.tolist()))
         at, sizes = self._entries(places)
-        self.pairs, self.times = self.pairs[at], self.times[at]
-        self.indptr = np.concatenate([[0], np.cumsum(sizes)])
-        self.uses, self.numbers = self.uses[places] // 2, self.numbers[places]
+        for rows in (self.pairs, self.times):
+            rows.keep(at)
+        for rows in (self.size, self.uses, self.numbers):
+            rows.keep(places)
+        self.start.n = 0
+        self.start.add(np.cumsum(sizes) - sizes)
+        self.uses.rows[:] //= 2
 
     def _entries(self, places):
         """(indices of the pairs of some places, how many of each)."""
         import numpy as np
 
-        sizes = np.diff(self.indptr)[places]
-        return np.arange(sizes.sum()) + np.repeat(self.indptr[places] - (np.cumsum(sizes) - sizes), sizes), sizes
+        sizes = self.size.held[places]
+        return np.arange(sizes.sum()) + np.repeat(self.start.held[places] - (np.cumsum(sizes) - sizes), sizes), sizes
 
     def _add(self, new: list[str]) -> None:
         import numpy as np
 
         base, numbers, said, found = len(self.said), np.zeros((len(new), 5), np.int64), [], []
+        plain = sum(map(self.sides.plain, new))       # these come first
         self.slot.update(zip(new, range(base, base + len(new)), strict=True))
         lo = held = 0
-        for hi, piece in enumerate(new, 1):
-            held += len(piece) + 1
-            if held >= BLOCK_BYTES or hi == len(new):
+        for hi, piece in enumerate(new):
+            # a long piece is a block of its own
+            if held and (held + len(piece) > BLOCK_BYTES or hi == plain):
                 found.append(self._align(new[lo:hi], lo, numbers, said))
                 lo, held = hi, 0
+            held += len(piece) + 1
+        found.append(self._align(new[lo:], lo, numbers, said))
         owner, pairs, times = (np.concatenate([f[k] for f in found]) for k in range(3))
         ids, col = np.unique(pairs, return_inverse=True)
         links = CSR.of_pairs(owner, col, times, len(new), max(len(ids), 1))
         numbers[:, 3] = np.bincount(links.rows(), links.data, len(new))
-        self.numbers = np.concatenate([self.numbers, numbers])
-        self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
         self.said += said
-        self.indptr = np.concatenate([self.indptr, self.indptr[-1] + links.indptr[1:]])
-        self.pairs = np.concatenate([self.pairs, ids[links.indices] if len(ids) else pairs])
-        self.times = np.concatenate([self.times, links.data])
+        self.numbers.add(numbers)
+        self.uses.add(np.zeros(len(new), np.int64))
+        self.start.add(self.pairs.n + links.indptr[:-1])
+        self.size.add(np.diff(links.indptr))
+        self.pairs.add(ids[links.indices] if len(ids) else pairs)
+        self.times.add(links.data)
 
     def _align(self, pieces: list[str], first: int, numbers, said: list):
         """Aligns pieces at once (their numbers are written from row ``first`` on, their groups added
@@ -355,9 +409,9 @@ class PieceTable:
         import numpy as np
 
         at, sizes = self._entries(used)
-        ids, col = np.unique(self.pairs[at], return_inverse=True)
+        ids, col = np.unique(self.pairs.held[at], return_inverse=True)
         row = np.repeat(np.arange(len(used)), sizes)
-        return CSR.of_pairs(row, col, self.times[at], len(used), max(len(ids), 1)), ids
+        return CSR.of_pairs(row, col, self.times.held[at], len(used), max(len(ids), 1)), ids
 
 
 ALIGNED = ("doc_id long, no_id boolean, n_a long, n_b long, n_groups long, n_links long, "
@@ -384,7 +438,7 @@ def align_texts(table: PieceTable, texts: list[str | None]) -> dict[str, list]:
     whole = np.array([None not in x for x in said], bool)
     keep = whole[text]
     text, slots = text[keep], slots[keep]
-    out = {name: np.bincount(text, table.numbers[slots, k], len(texts)).astype(np.int64)
+    out = {name: np.bincount(text, table.numbers.held[slots, k], len(texts)).astype(np.int64)
            for k, name in enumerate(NUMBERS)}
     used, col = np.unique(slots, return_inverse=True)
     links, ids = table.links(used)
@@ -410,13 +464,17 @@ def align(docs: DataFrame, byte_json: str, piece_model: str, id_col: str = "doc_
     def run(batches):
         table = piece_table(byte_json, piece_model)
         for pdf in batches:
-            lo = held = 0
-            texts = pdf["text"].tolist()
+            first = lo = held = given = 0
+            parts, texts = [], pdf["text"].tolist()
             for hi, text in enumerate(texts, 1):
                 held += len(text or "")
                 if held >= BLOCK_BYTES or hi == len(texts):
-                    yield pdf[["doc_id", "no_id"]].iloc[lo:hi].assign(**align_texts(table, texts[lo:hi]))
-                    lo, held = hi, 0
+                    parts.append(align_texts(table, texts[lo:hi]))
+                    lo, held, given = hi, 0, given + held
+                    if given >= OUT_BYTES or hi == len(texts):
+                        yield pdf[["doc_id", "no_id"]].iloc[first:hi].assign(
+                            **{c: list(chain.from_iterable(p[c] for p in parts)) for c in parts[0]})
+                        first, given, parts = hi, 0, []
 
     rows = docs.select(*whole_id(id_col), F.col(text_col).alias("text"))
     return with_nulls(rows.mapInPandas(run, ALIGNED))
