@@ -10,7 +10,8 @@
    character classes, gender and script of the title and name, valid check digit.
    A surrogate taken twice, or equal to an original of its type, is drawn again with the
    next attempt number until all differ: distinct entities stay distinct, and equal ones
-   (whatever their format) stay equal over all documents.
+   (whatever their format) stay equal over all documents. Where a format has no free
+   surrogate left, it grows.
 4. Texts are put together again from the pieces between their entities.
 
 Only entities are shuffled, and, once, the texts that hold some.
@@ -18,13 +19,14 @@ Only entities are shuffled, and, once, the texts that hold some.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlytics.llm.common import register, stored, table
 
-KEY = "surrogates"   # the caller's secret
-ROUNDS = 64          # more collisions in a row than this mean an exhausted format: an error
+SALTS = 16
+GROW = 8             # from this attempt on, formats without another free surrogate grow
+ROUNDS = 64          # more collisions in a row than this: an error
 
 # fixed values: titles of address by gender, surrogate names by gender and script
 MALE = ["Mr", "Mister", "Sir", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Signor", "г-н"]
@@ -48,11 +50,14 @@ ENDING = {"m_latin": "o", "f_latin": "a", "n_latin": "i", "m_cyrillic": "ов",
           "n_cyrillic": "ко", "latin": "er"}
 
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-# an address may follow any punctuation; inside a run of its characters only the first letter
+# Java recurses for every round of a group with alternatives, but not for a class, a group of
+# fixed length or a possessive group: long names, hosts and rows of titles need no stack.
+# An address may follow any punctuation; inside a run of its characters only the first letter
 # or digit is tried, which finds the same and keeps the search linear
 EMAIL = (r"(?=[A-Za-z0-9])(?<![A-Za-z0-9])(?:(?<![._%+-])|(?<![A-Za-z0-9][._%+-]{1,32}))"
-         r"[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
-         r"(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}+")
+         r"[A-Za-z0-9][A-Za-z0-9._%+-]*+"
+         # the host's labels, back to the last dot before a top-level name
+         r"@[A-Za-z0-9](?:[A-Za-z0-9.-](?<![.-]\.)(?<!\.-))*(?<![.-])\.[A-Za-z]{2,}+")
 # each pattern looks at its first character before it looks behind, which is dearer
 IP = rf"(?=[0-9])(?<![0-9.]){OCTET}(?:\.{OCTET}){{3}}(?![0-9]|\.[0-9])"
 CARD = (r"(?=[0-9])(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{4}"
@@ -66,9 +71,9 @@ SECRET = (r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{16})"
           r"(?<=(?i:token|secret|api_key|apikey|api-key|password|passwd)[\"']?\s{0,2}[=:]\s{0,2}[\"']?)"
           r"[A-Za-z0-9+/_-]{16,}+")
 TITLE = "(?:" + "|".join(x for t in MALE + FEMALE + NEUTRAL for x in (t, t.upper())) + r")\.?"
-TITLES = f"{TITLE}(?: {TITLE})*"
 # a quote or a possessive 's at the end is no part of a name
-NAME = r"\p{Lu}(?:\p{L}|-(?=\p{L})|['’](?=\p{L})(?![sS](?!\p{L})))+"
+NAME = r"\p{Lu}(?:\p{L}++|-(?=\p{L})|['’](?=\p{L})(?![sS](?!\p{L})))++"
+TITLES = f"{TITLE}(?: {TITLE}(?= {NAME}))*+"
 TITLE_START = "(?=[" + "".join(sorted({x for t in MALE + FEMALE + NEUTRAL for x in (t[0].upper(), t[0])})) + "])"
 PERSON = rf"{TITLE_START}(?<![\p{{L}}\p{{N}}]){TITLES} {NAME}(?: {NAME}){{0,2}}"
 FULL_NAME = f"^{NAME}(?: {NAME}){{1,2}}$"
@@ -113,8 +118,15 @@ def full_names(found: Column) -> Column:
 
 
 def with_names(names: Column) -> Column:
-    """ENTITY, or one of these names; they consist of letters, spaces, ', ’ and - only."""
-    return F.concat(F.lit(ENTITY + r"|(?<![\p{L}\p{N}])(?:"), F.array_join(names, "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    """ENTITY, or one of these names; they consist of letters, spaces, ', ’ and - only. Names
+    with the same first two letters share a branch, so that a word is not tried against all."""
+    def branch(start):
+        ends = F.transform(F.filter(names, lambda x: F.startswith(x, start)),
+                           lambda x: F.substring(x, F.lit(3), F.length(x)))
+        return F.concat(start, F.lit("(?:"), F.array_join(ends, "|"), F.lit(")"))
+    starts = F.array_distinct(F.transform(names, lambda x: F.substring(x, 1, 2)))
+    return F.concat(F.lit(ENTITY + r"|(?=\p{Lu})(?<![\p{L}\p{N}])(?:"), F.array_join(F.transform(starts, branch), "|"),
+                    F.lit(r")(?![\p{L}\p{N}])"))
 
 
 def kind_of(entity: Column) -> Column:
@@ -157,6 +169,16 @@ def _number(h: Column, i) -> Column:
     return F.conv(F.substring(h, 2 * i + 1, F.lit(2)), 16, 10).cast("int")
 
 
+def _bytes(h: Column) -> Column:
+    """The bytes of a SHA-256 in hexadecimal digits."""
+    return F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: _number(h, i))
+
+
+def _digits(h: Column) -> Column:
+    """Hexadecimal digits as decimal ones."""
+    return F.translate(h, "abcdef", "012345")
+
+
 def _pick(values: list[str], n: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), n % len(values) + 1)
 
@@ -166,25 +188,24 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     def digest(*more):
         return F.sha2(F.concat_ws("\x1f", F.lit(key), kind, norm, attempt.cast("string"), *more), 256)
 
-    def stream(s):  # two hexadecimal digits for every character
-        return F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.length(s) / 32).cast("int")),
-                                        lambda i: digest(i.cast("string"))), "")
+    def numbers(n):  # n bytes; a digest is made once for 32 of them
+        each = F.transform(F.sequence(F.lit(0), F.floor(n / 32).cast("int")), lambda i: digest(i.cast("string")))
+        return F.slice(F.flatten(F.transform(each, _bytes)), F.lit(1), F.greatest(n, F.lit(0)))
 
     def shaped(s, hexadecimal=False):
-        h = stream(s)
         abc = "0123456789abcdef" if hexadecimal else "abcdefghijklmnopqrstuvwxyz"
 
-        def one(c, i):
-            v = _number(h, i)
+        def one(c, v):
             at = lambda letters: F.substring(F.lit(letters), v % len(letters) + 1, F.lit(1))
             if hexadecimal:
                 return at(abc)
             return (F.when(c.rlike("[0-9]"), at("0123456789")).when(c.rlike("[a-z]"), at(abc))
                     .when(c.rlike("[A-Z]"), at(abc.upper())).otherwise(c))
-        return F.array_join(F.transform(F.split(s, ""), one), "")
+        return F.array_join(F.zip_with(F.split(s, ""), numbers(F.length(s)), one), "")
 
     first, rest = F.substring(norm, 1, 1), F.substring(norm, F.lit(2), F.length(norm))
-    numeric = F.concat(first, shaped(rest))
+    grown = F.substring(_digits(digest(F.lit("more"))), F.lit(1), F.greatest(attempt - GROW, F.lit(0)))
+    numeric = F.concat(first, shaped(rest), grown)
     body = F.concat(first, shaped(F.substring(norm, F.lit(2), F.length(norm) - 2)))
     check = F.pmod(-luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")
     local, domain = F.substring_index(norm, "@", 1), F.substring_index(norm, "@", -1)
@@ -192,9 +213,11 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     host = F.substring(domain, F.lit(1), F.length(domain) - F.length(top) - 1)
     # the host depends on the host alone, so that addresses of one host stay together
     host_hash = F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("host"), host), 256)
-    new_host = F.array_join(F.transform(F.split(host, ""), lambda c, i: F.when(
-        c.rlike("[a-z0-9]"), F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"),
-                                         _number(host_hash, i % 32) % 26 + 1, F.lit(1))).otherwise(c)), "")
+    # an array of one hash, so that it is made once and not for every character
+    new_host = F.transform(F.array(host_hash), lambda hashed: F.array_join(F.transform(
+        F.split(host, ""), lambda c, i: F.when(
+            c.rlike("[a-z0-9]"), F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"),
+                                             _number(hashed, i % 32) % 26 + 1, F.lit(1))).otherwise(c)), ""))[0]
     # a short local part that keeps colliding grows
     more = F.when(attempt > 3, F.substring(F.translate(digest(F.lit("more")), "0123456789", "ghijklmnop"),
                                            F.lit(1), attempt - 3)).otherwise("")
@@ -222,25 +245,26 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
 
 
 def unit_surrogates(found: DataFrame, key: str) -> DataFrame:
-    """Distinct units (kind, norm) with surrogates that all differ and are no original."""
-    todo = found.withColumn("attempt", F.lit(0))
-    taken = F.lower(F.col("surrogate"))
-    done = None
-    for _ in range(ROUNDS):
-        drawn = todo.withColumn("surrogate", surrogate(F.col("kind"), F.col("norm"), F.col("attempt"), key))
-        drawn = drawn.withColumn("taken", taken).withColumn("old", F.lit(False))
+    """Distinct units (kind, norm) with surrogates that all differ and are no original.
+
+    A round draws for the units that have none yet. Of equal draws the least unit keeps its
+    own, if no unit of an earlier round and no original has it; a round writes what it settled."""
+    originals = stored(found.select("kind", F.lower("norm").alias("taken")).distinct())
+    todo, done = found.select("kind", "norm"), None
+    for attempt in range(ROUNDS):
+        drawn = todo.withColumn("surrogate", surrogate(F.col("kind"), F.col("norm"), F.lit(attempt), key))
+        # a minimum is partly made before the shuffle: many equal draws fill no task
+        first = (drawn.withColumn("taken", F.lower("surrogate")).groupBy("kind", "taken")
+                 .agg(F.min(F.struct("norm", "surrogate")).alias("who"))
+                 .join(originals, ["kind", "taken"], "left_anti"))
         if done is not None:
-            drawn = drawn.unionByName(done.withColumn("old", F.lit(True)))
-        first = Window.partitionBy("kind", "taken").orderBy(F.desc("old"), "norm")
-        originals = found.select("kind", F.lower("norm").alias("taken"), F.lit(True).alias("original"))
-        ranked = stored(drawn.withColumn("n", F.row_number().over(first))
-                        .join(originals.distinct(), ["kind", "taken"], "left"))
-        good = F.col("old") | ((F.col("n") == 1) & F.col("original").isNull())
-        done = ranked.filter(good).select("kind", "norm", "attempt", "surrogate", "taken")
-        todo = (ranked.filter(~good).select("kind", "norm", (F.col("attempt") + 1).alias("attempt")))
+            first = first.join(done, ["kind", "taken"], "left_anti")
+        new = stored(first.select("kind", "taken", "who.norm", "who.surrogate"))
+        done = new if done is None else done.unionByName(new)
+        todo = stored(todo.join(new, ["kind", "norm"], "left_anti"))
         if todo.isEmpty():
             return done.select("kind", "norm", "surrogate")
-    raise ValueError("a format has fewer surrogates than entities")
+    raise ValueError("no free surrogate for some entities")
 
 
 def replacements(found: DataFrame, key: str) -> DataFrame:
@@ -254,10 +278,12 @@ def replacements(found: DataFrame, key: str) -> DataFrame:
     whole = (parts.join(new, ["kind", "norm"]).groupBy("entity", "type").agg(words.alias("words")))
     e, w = F.col("entity"), F.col("words")
     flat = w[0]
-    # digits go back into the entity's own format
+    # digits go back into the entity's own format, those that it grew by after its last one
     pieces = F.split(e, "[0-9]", -1)
-    digits = F.concat(F.split(flat, ""), F.array(F.lit("")))
-    refilled = F.array_join(F.zip_with(pieces, F.slice(digits, F.lit(1), F.size(pieces)), lambda a, b: F.concat(a, b)), "")
+    places = F.size(pieces) - 1
+    digits = F.concat(F.slice(F.split(flat, ""), F.lit(1), F.greatest(places - 1, F.lit(0))),
+                      F.array(F.substring(flat, places, F.length(flat)), F.lit("")))
+    refilled = F.array_join(F.zip_with(pieces, digits, lambda a, b: F.concat(a, b)), "")
     title = F.regexp_extract(e, f"^{TITLES} ", 0)
     person = F.concat(title, F.array_join(w, " "))
     out = (F.when(F.col("type").isin("card", "phone", "ssn"), refilled)
@@ -266,9 +292,10 @@ def replacements(found: DataFrame, key: str) -> DataFrame:
     return whole.select("entity", F.when(shout, F.upper(out)).otherwise(out).alias("replacement"))
 
 
-def replace_pii(docs: DataFrame, key: str = KEY, text_col: str = "text",
+def replace_pii(docs: DataFrame, key: str, text_col: str = "text",
                 count_col: str | None = None) -> DataFrame:
     """``docs`` with the entities of ``text_col`` replaced, and their number as ``count_col``.
+    The ``key`` is the caller's secret: with it, surrogates can be drawn again and compared.
 
     Null and empty texts stay as they are, as does every text without entities. Rows are
     told apart by nothing but their texts: ids may be null or repeated, all other columns
@@ -287,7 +314,10 @@ def replace_pii(docs: DataFrame, key: str = KEY, text_col: str = "text",
             .withColumn("e", F.when(named, F.regexp_extract_all("t", pattern, F.lit(0))).otherwise(F.col("e0")))
             .withColumn("k", F.sha2(F.array_join("e", "\x00"), 256)))
     # texts with the same entities (copies) share one row here
-    lists = stored(held.groupBy("k").agg(F.first("e").alias("e")))
+    lists = stored(held.groupBy("k").agg(F.first("e").alias("e"), F.count("*").alias("texts")))
+    # lists that a large part of the texts share (64 at most) meet them under salts
+    every = lists.agg(F.sum("texts")).first()[0] or 0
+    hot = [r.k for r in lists.filter(F.col("texts") * 64 > every).select("k").collect()]
     # a name without title stands for the first person of that name
     persons = F.transform(F.filter("e", lambda x: x.rlike(f"^{TITLE} ")),
                           lambda x: F.struct(F.lower(name_of(x)).alias("name"), x.alias("entity")))
@@ -311,7 +341,11 @@ def replace_pii(docs: DataFrame, key: str = KEY, text_col: str = "text",
         between, F.concat(F.transform("new", lambda x: x.s), F.array(F.lit(""))),
         lambda a, b: F.concat(a, b)), "")
     count = F.aggregate("new", F.lit(0), lambda acc, x: acc + x.n)
-    changed = held.join(filled, "k").select(
+    is_hot = F.col("k").isin(hot)
+    filled = filled.withColumn("salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1)))
+                                                 .otherwise(F.array(F.lit(0)))))
+    salt = F.when(is_hot, F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).otherwise(0)
+    changed = held.withColumn("salt", salt).join(filled, ["k", "salt"]).select(
         *[joined.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in cols], *n(count))
     return plain.unionByName(changed)
 
@@ -322,4 +356,4 @@ def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     SQL has no keyed draw with collision rounds: the tests check types, formats,
     distinctness and coreference against the originals."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return replace_pii(docs, count_col="n_replaced")
+    return replace_pii(docs, "op8_pii_surrogates", count_col="n_replaced")
