@@ -43,7 +43,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by surrogates; n_chars counts the new text."""
-    out = replace_pii(docs.select(*COLUMNS))
+    out = replace_pii(docs.select(*COLUMNS), "corpus pipeline")
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars"))
                           .otherwise(F.length("text").cast("long")))
 
