@@ -3,14 +3,15 @@ length grouping.
 
 The vocabulary is built by Spark (``groupBy(token).count()``, whole unless
 a size is asked for); ids are global ranks from a range-partitioned sort.
-Encoding joins the exploded tokens to the vocabulary (no vocabulary-sized
-literal map: Spark map lookups are linear), and rebuilds each row's id list
-from its own tokens only. The most frequent tokens are salted on both sides
-of that join.
+A vocabulary whose size is checked to be small is broadcast as a dictionary
+and applied to the token arrays in place; beyond that the exploded tokens are
+joined to it (the most frequent ones salted on both sides), and each row's id
+list is rebuilt from its own tokens.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +24,7 @@ IGNORE_INDEX = -100
 RESPONSE_TEMPLATE = "### Sentiment:"
 PACK_LENGTH = 2048
 HOT_TOKENS, HOT_SALTS = 64, 16  # tokens salted in the vocabulary join, and how often
+DICTIONARY_BYTES = 64 << 20     # a vocabulary up to this size is held by every worker
 # Prompt tokenizer: runs of word characters, or one other non-space character.
 PROMPT_TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
 # ---------------------------------------------------------------------------
@@ -64,8 +66,31 @@ def build_vocab(tokens_df: DataFrame, tokens_col: str, size: int | None = None)
 
 
 def token_ids(df: DataFrame, id_col: str, tokens_col: str, vocab: DataFrame,
-              out_col: str = "ids") -> DataFrame:
-    """Map each row's tokens to ids (unknown -> UNK), order kept."""
+              out_col: str = "ids", dictionary_bytes: int = DICTIONARY_BYTES) -> DataFrame:
+    """Map each row's tokens to ids (unknown -> UNK), order kept.
+
+    A vocabulary of at most ``dictionary_bytes`` (its tokens, and 100 bytes for each) goes to the
+    workers as a dictionary, and rows are mapped in place: no shuffle. A larger one is joined
+    with the exploded tokens."""
+    size = vocab.agg(F.sum(F.octet_length("token") + 100)).first()[0] or 0
+    if size <= dictionary_bytes:
+        return _ids_by_dictionary(df, tokens_col, vocab, out_col)
+    return _ids_by_join(df, id_col, tokens_col, vocab, out_col)
+
+
+def _ids_by_dictionary(df: DataFrame, tokens_col: str, vocab: DataFrame, out_col: str) -> DataFrame:
+    rows = vocab.select("token", "id").toPandas()
+    known = df.sparkSession.sparkContext.broadcast(dict(zip(rows["token"], rows["id"].tolist(), strict=True)))
+
+    @F.pandas_udf("array<int>")
+    def run(lists: pd.Series) -> pd.Series:
+        get = known.value.get
+        return pd.Series([[] if tokens is None else [get(t, UNK_ID) for t in tokens] for tokens in lists])
+
+    return df.withColumn(out_col, run(tokens_col))
+
+
+def _ids_by_join(df: DataFrame, id_col: str, tokens_col: str, vocab: DataFrame, out_col: str) -> DataFrame:
     ex = (df.select(id_col, F.posexplode_outer(tokens_col).alias("pos", "token"))
           .where(F.col("pos").isNotNull()))
     # ids are frequency ranks: the most frequent tokens meet under HOT_SALTS sub-keys

@@ -1,22 +1,20 @@
 """Feature extraction (D1-D4, D8, C14) in long form: ``(id, term, weight)``.
 
 The long form is what scales and what SQL can check: a term table instead of
-a matrix, document frequencies by ``groupBy(term)``, the L2 norm by
-``groupBy(id)`` plus a join (partial aggregation on both, so one very long
-document or one very common term is not ranked by a single task). The idf
-table is vocabulary-sized; it is joined, and AQE turns the join into a
-broadcast at run time only when its measured size is under the threshold.
+a matrix, document frequencies by ``groupBy(term)``, the L2 norm by a window
+over the rows of one document. The idf table is vocabulary-sized and joined;
+a bounded number of its commonest terms is broadcast.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlytics.functions import text as tx
+from postlytics.session import cut_lineage
 
 
 def term_counts(df: DataFrame, id_col: str = "post_id", text_col: str = "text") -> DataFrame:
@@ -28,7 +26,7 @@ def term_counts(df: DataFrame, id_col: str = "post_id", text_col: str = "text")
 
 @dataclass
 class TfidfModel:
-    """A fitted TF-IDF vocabulary: ``idf(term, idf)`` and the corpus size."""
+    """A fitted TF-IDF vocabulary: ``idf(term, df, idf)``, stored, and the corpus size."""
     idf: DataFrame
     n_docs: int
     id_col: str = "post_id"
@@ -36,15 +34,40 @@ class TfidfModel:
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Weights for (unseen) text; terms outside the vocabulary are ignored."""
-        counts = term_counts(df, self.id_col, self.text_col)
-        return _l2_normalise(counts.join(self.idf, "term"), self.id_col)
+        counts = cut_lineage(term_counts(df, self.id_col, self.text_col))
+        return _l2_normalise(join_terms(counts, self.idf), self.id_col)
+
+
+HOT_TERMS = 4096  # the commonest terms, which every task of a join with a term table holds
+
+
+def join_terms(rows: DataFrame, terms: DataFrame, term_col: str = "term",
+               count_col: str = "df") -> DataFrame:
+    """Inner join of rows with a table of one row per term (and its number of rows). Terms follow
+    Zipf's law: the ``HOT_TERMS`` commonest ones are broadcast, so that their rows stay where
+    they are; only the rows of rarer terms are shuffled. Both frames are read more than once
+    and should be stored ones."""
+    hot = F.broadcast(terms.orderBy(F.col(count_col).desc(), term_col).limit(HOT_TERMS))
+    rare = rows.join(hot.select(term_col), term_col, "left_anti")
+    return rows.join(hot, term_col).unionByName(rare.join(terms, term_col)).drop(count_col)
+
+
+def _smoothed(n: int):
+    """ln((1 + n) / (1 + df)) + 1 of the column df."""
+    return F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1.0
+
+
+def _idf(counts: DataFrame, n: int) -> DataFrame:
+    """(term, df, idf) of (id, term) rows of ``n`` documents."""
+    return (counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+            .select("term", "df", _smoothed(n).alias("idf")))
 
 
 def _l2_normalise(weighted: DataFrame, id_col: str) -> DataFrame:
-    w = (F.col("tf") * F.col("idf")).alias("w")
-    raw = weighted.select(id_col, "term", w)
-    norms = raw.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
-    return (raw.join(norms, id_col)
+    """The window deals rows by id once; a norm of its own would take two more shuffles."""
+    raw = weighted.select(id_col, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
+    return (raw.withColumn("_norm", norm)
             .select(id_col, "term", F.when(F.col("_norm") == 0, F.lit(0.0))
                     .otherwise(F.col("w") / F.col("_norm")).alias("tfidf")))
 
@@ -52,28 +75,19 @@ def _l2_normalise(weighted: DataFrame, id_col: str) -> DataFrame:
 def fit_tfidf(df: DataFrame, id_col: str = "post_id", text_col: str = "text") -> TfidfModel:
     """D3 fit: smoothed idf ``ln((1 + n) / (1 + df)) + 1`` over the documents of ``df``."""
     n = df.count()
-    counts = term_counts(df, id_col, text_col)
-    idf = (counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-           .select("term", (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf")))
-    return TfidfModel(idf, n, id_col, text_col)
+    return TfidfModel(cut_lineage(_idf(term_counts(df, id_col, text_col), n)), n, id_col, text_col)
 
 
 def tfidf(df: DataFrame, id_col: str = "post_id", text_col: str = "text"):
     """D3: fit on ``df`` and transform it; returns ``(weights, model)``.
 
-    The term-count table feeds three branches (document frequencies,
-    weights, norms); it is persisted (memory and disk, recomputable from
-    lineage if an executor is lost) so the texts are tokenized once, not
-    three times. ``model.counts.unpersist()`` releases it.
+    The term-count table feeds several branches; it is written once to the
+    checkpoint folder, so the texts are tokenized once.
     """
-    from pyspark import StorageLevel
     n = df.count()
-    counts = term_counts(df, id_col, text_col).persist(StorageLevel.MEMORY_AND_DISK)
-    idf = (counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-           .select("term", (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf")))
-    model = TfidfModel(idf, n, id_col, text_col)
-    model.counts = counts
-    return _l2_normalise(counts.join(idf, "term"), id_col), model
+    counts = cut_lineage(term_counts(df, id_col, text_col))
+    model = TfidfModel(cut_lineage(_idf(counts, n)), n, id_col, text_col)
+    return _l2_normalise(join_terms(counts, model.idf), id_col), model
 
 
 def extract_features(df: DataFrame, method: str = "tfidf", id_col: str = "post_id",
@@ -90,27 +104,61 @@ def extract_features(df: DataFrame, method: str = "tfidf", id_col: str = "post_i
     raise ValueError(f"method {method!r}: use 'count', 'tfidf' or 'embedding'")
 
 
-def fit_term_vectors(df: DataFrame, text_col: str = "text", features_col: str = "features",
-                     use_idf: bool = True):
-    """D1 (ML form): tokenizer, counts over the whole vocabulary of ``df``
-    (times the smoothed IDF of :func:`tfidf`), L2 norm, as one fitted model."""
-    from pyspark.ml import PipelineModel
-    from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer, RegexTokenizer
-    from pyspark.ml.linalg import Vectors
-
-    tokens = RegexTokenizer(inputCol=text_col, outputCol="_tokens", gaps=False,
-                            pattern=tx.WORD_CHAR + "{2,}", toLowercase=True)
-    words = tokens.transform(df)
-    size = words.select(F.explode_outer("_tokens").alias("t")).where("t IS NOT NULL").distinct().count()
-    counts = CountVectorizer(inputCol="_tokens", outputCol="_tf", vocabSize=max(size, 1)).fit(words)
-    stages = [tokens, counts]
-    if use_idf:
-        # the engine's IDF lacks the smoothed form's "+ 1"
-        idf = IDF(inputCol="_tf", outputCol="_idf").fit(counts.transform(words)).idf
-        stages.append(ElementwiseProduct(inputCol="_tf", outputCol="_tfidf",
-                                         scalingVec=Vectors.dense([x + 1.0 for x in idf])))
-    stages.append(Normalizer(inputCol=stages[-1].getOutputCol(), outputCol=features_col, p=2.0))
-    return PipelineModel(stages)
+@dataclass
+class TermVectors:
+    """D1 (ML form): ``terms(term, idx, idf)``, a stored table of ``size`` rows. Vectors
+    are put together in the executors; neither table nor vocabulary comes to the driver."""
+    terms: DataFrame
+    size: int
+
+    def weights(self, df: DataFrame, id_col: str = "post_id", text_col: str = "text") -> DataFrame:
+        """``(id, indices, values)``: L2-normalised weights of the texts that have known terms."""
+        counts = cut_lineage(term_counts(df, id_col, text_col))
+        pair = F.struct("idx", (F.col("tf") * F.col("idf")).alias("w"))
+        of_row = (join_terms(counts, self.terms).select(id_col, pair.alias("p"))
+                  .groupBy(id_col).agg(F.sort_array(F.collect_list("p")).alias("p"))
+                  .withColumn("n", F.sqrt(F.aggregate("p", F.lit(0.0), lambda s, x: s + x.w * x.w))))
+        return of_row.select(id_col, F.transform("p", lambda x: x.idx).alias("indices"), F.zip_with(
+            F.transform("p", lambda x: x.w), F.array_repeat("n", F.size("p")), lambda w, n: w / n).alias("values"))
+
+    def transform(self, df: DataFrame, id_col: str = "post_id", text_col: str = "text",
+                  features_col: str = "features") -> DataFrame:
+        """``df`` with its sparse vectors, written once to the shared folder (training reads them
+        many times). ``id_col`` identifies a row; texts without known terms get the zero vector."""
+        none = F.array()
+        vector = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(self.size).alias("size"),
+                          F.coalesce("indices", none.cast("array<int>")).alias("indices"),
+                          F.coalesce("values", none.cast("array<double>")).alias("values"))
+        met = df.join(self.weights(df, id_col, text_col), id_col, "left")
+        return as_vectors(met.withColumn(features_col, vector).drop("indices", "values"), features_col)
+
+
+def as_vectors(df: DataFrame, col: str) -> DataFrame:
+    """``df`` stored with ``col``, a struct (type, size, indices, values), read back as ML vectors:
+    Parquet holds them in just this form, so no Python function is needed."""
+    from pyspark.ml.linalg import VectorUDT
+    from pyspark.sql import types as T
+
+    from postlytics.sources.io import scratch_path
+    path = scratch_path(df.sparkSession, "vectors")
+    df.write.parquet(path)
+    schema = T.StructType([T.StructField(f.name, VectorUDT() if f.name == col else f.dataType)
+                           for f in df.schema.fields])
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def fit_term_vectors(df: DataFrame, id_col: str = "post_id", text_col: str = "text",
+                     use_idf: bool = True) -> TermVectors:
+    """Index of all terms of ``df`` in code-point order, with the smoothed IDF of :func:`tfidf`
+    (or 1): a range-partitioned sort gives every term its place."""
+    from postlytics.operators.encode import global_rank
+    n = df.count()
+    counts = term_counts(df, id_col, text_col).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    ranked = global_rank(counts, [F.col("term")], "idx")
+    idf = _smoothed(n) if use_idf else F.lit(1.0)
+    terms = ranked.select("term", F.col("idx").cast("int").alias("idx"), idf.alias("idf"),
+                          "df")
+    return TermVectors(terms, max(ranked.count(), 1))
 
 
 # --- D8 ----------------------------------------------------------------------
@@ -150,25 +198,28 @@ VADER_ALPHA = 15.0  # fixed value: compound = s / sqrt(s^2 + alpha)
 def fit_lexicon(df: DataFrame, label_col: str = "label", id_col: str = "post_id",
                 text_col: str = "text") -> DataFrame:
     """C14 lexicon from labelled posts: ``valence(token) = mean(label - 1)``
-    over the posts that contain the token (each post counted once)."""
+    over the posts that contain the token (each post counted once), and their number ``posts``."""
     toks = (df.select(id_col, label_col,
                       F.explode_outer(tx.preprocess_tokens(text_col)).alias("token"))
               .where(F.col("token").isNotNull()).distinct())
-    return toks.groupBy("token").agg(F.avg(F.col(label_col) - 1.0).alias("valence"))
+    return toks.groupBy("token").agg(F.avg(F.col(label_col) - 1.0).alias("valence"),
+                                     F.count(F.lit(1)).alias("posts"))
 
 
 def lexicon_scores(df: DataFrame, lexicon: DataFrame, id_col: str = "post_id",
                    text_col: str = "text") -> DataFrame:
     """C14: per post ``s = sum of valences`` (repeats count), ``compound =
-    s / sqrt(s^2 + 15)``; posts without a lexicon token score 0."""
+    s / sqrt(s^2 + 15)``; posts without a lexicon token score 0.
+
+    A lexicon with the column ``posts`` (as of :func:`fit_lexicon`) is joined like any table of
+    terms; others (a given word list) plainly."""
     toks = (df.select(id_col, F.explode_outer(tx.preprocess_tokens(text_col)).alias("token"))
-            .where(F.col("token").isNotNull()))
-    s = toks.join(lexicon, "token").groupBy(id_col).agg(F.sum("valence").alias("s"))
+            .where(F.col("token").isNotNull()).groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("tf")))
+    if "posts" in lexicon.columns:
+        met = join_terms(cut_lineage(toks), cut_lineage(lexicon), "token", "posts")
+    else:
+        met = toks.join(lexicon, "token")
+    s = met.groupBy(id_col).agg(F.sum(F.col("tf") * F.col("valence")).alias("s"))
     out = df.select(id_col).join(s, id_col, "left").fillna(0.0, ["s"])
     return out.select(id_col, F.col("s").alias("sum_valence"),
                       (F.col("s") / F.sqrt(F.col("s") * F.col("s") + VADER_ALPHA)).alias("compound"))
-
-
-def smoothed_idf(n: int, df_count: int) -> float:
-    """The smoothed idf of one term (for tests)."""
-    return math.log((1 + n) / (1 + df_count)) + 1.0

@@ -3,27 +3,22 @@
 ``#machinelearning`` -> ``machine learning``: the split that maximises the
 sum of log word probabilities, ``P(w) = count(w) / N`` for known words and
 ``10 / (N * 10 ** len(w))`` for unknown ones (the usual unigram model of
-word segmenters), words at most 24 characters long.
+word segmenters), words at most ``max_word`` characters long.
 
-Spark does the heavy parts: unigram counts (``groupBy(token)``), the
-candidate substrings of every *distinct* tag joined to the counts (an
-equi-join: the vocabulary never has to fit in memory), and the per-tag
-dynamic program runs in an Arrow-batched pandas UDF on the tag's own
-candidates only.
+Unigram counts are a ``groupBy(token)``; the candidate substrings of every
+*distinct* tag are joined to the counts (an equi-join: the vocabulary never
+has to fit in memory), and a tag's dynamic program is a fold over its
+positions, all in Spark expressions.
 """
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlytics.functions import text as tx
-from postlytics.session import ship_package
 
-# --- fixed values ----------------------------------------------------------
+# --- fixed values (MAX_WORD: the default of a parameter) --------------------
 MAX_WORD = 24
 UNKNOWN_SCALE = 10.0
 # ---------------------------------------------------------------------------
@@ -41,27 +36,40 @@ def normalise_tag(col) -> "F.Column":
     return F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", "")
 
 
-def _best_split(text: str, known: dict, total: float) -> list[str]:
-    n = len(text)
-    if n == 0:
-        return []
-    best = [0.0] + [-math.inf] * n
-    back = [0] * (n + 1)
-    for j in range(1, n + 1):
-        for i in range(max(0, j - MAX_WORD), j):
-            w = text[i:j]
-            c = known.get(w)
-            lp = math.log(c / total) if c else math.log(UNKNOWN_SCALE / (total * 10 ** len(w)))
-            if best[i] + lp > best[j]:
-                best[j], back[j] = best[i] + lp, i
-    out, j = [], n
-    while j > 0:
-        out.append(text[back[j]:j])
-        j = back[j]
-    return out[::-1]
-
-
-def segment(elements: DataFrame, col: str, counts: DataFrame, out_col: str = "segmented") -> DataFrame:
+def _log_prob(word: Column, known: Column, total: float) -> Column:
+    """Log probability of a word; ``known`` maps the known candidates to their counts."""
+    n = F.element_at(known, word)
+    unknown = F.lit(UNKNOWN_SCALE) / (F.lit(total) * F.pow(F.lit(10.0), F.length(word)))
+    return F.when(n.isNotNull(), F.log(n / F.lit(total))).otherwise(F.log(unknown))
+
+
+def best_ends(norm: Column, known: Column, total: float, max_word: int) -> Column:
+    """For every position 0..n of ``norm`` the best split up to there, as (score, -start of its
+    last word); equal scores prefer the longer last word."""
+    def step(best, j):
+        def last_word(i):
+            score = F.get(best, i).s + _log_prob(F.substring(norm, i + 1, j - i), known, total)
+            return F.struct(score.alias("s"), (-i).alias("b"))
+        starts = F.sequence(F.greatest(j - max_word, F.lit(0)), j - 1)
+        return F.concat(best, F.array(F.array_max(F.transform(starts, last_word))))
+    first = F.array(F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("b")))
+    return F.when(F.length(norm) > 0, F.aggregate(F.sequence(F.lit(1), F.length(norm)), first, step))
+
+
+def split_words(norm: Column, ends: Column) -> Column:
+    """The words of the best split, from the last one back."""
+    def step(state, _):
+        start = -F.get(ends, state.at).b
+        word = F.substring(norm, start + 1, state.at - start)
+        more = F.struct(start.alias("at"), F.concat(F.array(word), state.words).alias("words"))
+        return F.when(state.at > 0, more).otherwise(state)
+    begin = F.struct(F.length(norm).alias("at"), F.array().cast("array<string>").alias("words"))
+    words = F.aggregate(F.sequence(F.lit(1), F.length(norm)), begin, step, lambda state: state.words)
+    return F.when(F.length(norm) > 0, F.array_join(words, " ")).otherwise("")
+
+
+def segment(elements: DataFrame, col: str, counts: DataFrame, out_col: str = "segmented",
+            max_word: int = MAX_WORD) -> DataFrame:
     """Add ``out_col`` (words joined by spaces) to a frame of elements."""
     total = float(counts.agg(F.sum("n")).first()[0] or 1.0)
     tags = elements.select(F.col(col).alias("_tag")).distinct().withColumn("_norm", normalise_tag("_tag"))
@@ -69,27 +77,46 @@ def segment(elements: DataFrame, col: str, counts: DataFrame, out_col: str = "se
     subs = (tags.select("_tag", "_norm", F.explode_outer(F.sequence(F.lit(1), F.greatest(L, F.lit(1))))
                         .alias("_i"))
             .select("_tag", "_norm", "_i", F.explode_outer(F.sequence(
-                F.lit(1), F.least(F.lit(MAX_WORD), F.greatest(L - F.col("_i") + 1, F.lit(1))))).alias("_k"))
+                F.lit(1), F.least(F.lit(max_word), F.greatest(L - F.col("_i") + 1, F.lit(1))))).alias("_k"))
             .select("_tag", "_norm", F.substring("_norm", F.col("_i"), F.col("_k")).alias("word")))
     known = (subs.join(counts, "word")
              .groupBy("_tag").agg(F.map_from_entries(F.collect_set(F.struct("word", "n"))).alias("_known")))
-    cand = tags.join(known, "_tag", "left")
-
-    ship_package(elements.sparkSession)
-
-    @F.pandas_udf("string")
-    def split(norm: pd.Series, kn: pd.Series) -> pd.Series:
-        out = []
-        for t, k in zip(norm, kn):
-            d = dict(k) if k is not None else {}
-            out.append(" ".join(_best_split(t or "", d, total)))
-        return pd.Series(out)
-
-    seg = cand.select("_tag", split("_norm", "_known").alias(out_col))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
+    cand = tags.join(known, "_tag", "left").withColumn("_known", F.coalesce("_known", none))
+    ends = cand.withColumn("_ends", best_ends(F.col("_norm"), F.col("_known"), total, max_word))
+    seg = ends.select("_tag", split_words(F.col("_norm"), F.col("_ends")).alias(out_col))
     return elements.join(seg, elements[col] == seg["_tag"], "left").drop("_tag")
 
 
-def segmenter(counts: DataFrame):
+def segmenter(counts: DataFrame, max_word: int = MAX_WORD):
     """A ``segmenter(df, col, out_col)`` callable for :func:`cluster_elements`."""
-    return lambda df, col, out: segment(df, col, counts, out)
-
+    return lambda df, col, out: segment(df, col, counts, out, max_word)
+
+
+def sql_segmented(max_word: int = MAX_WORD) -> list[str]:
+    """The same as DuckDB CTEs: ``seg(tag, segmented)`` over ``dt(tag)`` and ``uni(word, n)``."""
+    score = f"""CASE WHEN known[substr(norm, i + 1, j + 1 - i)] IS NOT NULL
+                THEN ln(known[substr(norm, i + 1, j + 1 - i)] / total)
+                ELSE ln({UNKNOWN_SCALE} / (total * pow(10.0, j + 1 - i))) END"""
+    return [
+        r"nt AS (SELECT tag, regexp_replace(lower(tag), '[^\p{L}\p{N}]', '', 'g') AS norm FROM dt)",
+        f"""sb AS (SELECT DISTINCT tag, substr(norm, i, k) AS word FROM (
+              SELECT tag, norm, i, unnest(range(1, least({max_word}, length(norm) - i + 1) + 1)) AS k
+              FROM (SELECT tag, norm, unnest(range(1, length(norm) + 1)) AS i FROM nt)))""",
+        """kn AS (SELECT tag, map_from_entries(list((word, n))) AS known FROM sb JOIN uni USING (word) GROUP BY tag)""",
+        """st AS (SELECT tag, norm, coalesce(known, MAP {}::MAP(VARCHAR, BIGINT)) AS known,
+                         (SELECT sum(n) FROM uni)::DOUBLE AS total FROM nt LEFT JOIN kn USING (tag))""",
+        f"""dp AS (
+              SELECT tag, norm, known, total, 0 AS j, [0.0::DOUBLE] AS s, [0::BIGINT] AS b FROM st
+              UNION ALL
+              SELECT tag, norm, known, total, j + 1, list_append(s, best.s), list_append(b, best.i) FROM (
+                SELECT *, list_reduce(list_transform(range(greatest(j + 1 - {max_word}, 0), j + 1),
+                         lambda i: {{'s': s[i + 1] + {score}, 'i': i}}),
+                         lambda x, y: CASE WHEN y.s > x.s THEN y ELSE x END) AS best
+                FROM dp WHERE j < length(norm)))""",
+        """bt AS (
+              SELECT tag, norm, b, length(norm)::BIGINT AS p, ''::VARCHAR AS said FROM dp WHERE j = length(norm)
+              UNION ALL
+              SELECT tag, norm, b, b[p + 1], substr(norm, b[p + 1] + 1, p - b[p + 1])
+                     || CASE WHEN said = '' THEN '' ELSE ' ' || said END FROM bt WHERE p > 0)""",
+        "seg AS (SELECT tag, said AS segmented FROM bt WHERE p = 0)"]

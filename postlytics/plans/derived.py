@@ -162,8 +162,8 @@ SQL_CTES = {
 _CTE_DEPS = {"predictions": ["posts"]}
 
 
-def with_ctes(names, body: str, extra=()) -> str:
-    """``WITH <derived ctes in dependency order>, <extra ctes> <body>``."""
+def with_ctes(names, body: str, extra=(), recursive: bool = False) -> str:
+    """``WITH [RECURSIVE] <derived ctes in dependency order>, <extra ctes> <body>``."""
     order: list[str] = []
 
     def add(n):
@@ -177,4 +177,4 @@ def with_ctes(names, body: str, extra=()) -> str:
     parts = [SQL_CTES[n] for n in order] + list(extra)
     if not parts:
         return body
-    return "WITH " + ",\n".join(parts) + "\n" + body
+    return "WITH " + ("RECURSIVE " if recursive else "") + ",\n".join(parts) + "\n" + body

@@ -106,6 +106,16 @@ def a5_eval_metrics(spark, sf):
         "experiment", "run_id", "metric", "step", "ts", "value")
 
 
+@register("a7_scan_run_log", sql=with_ctes(
+    ["run_metrics"], "SELECT experiment, run_id, metric, epoch_ms(ts) AS ms, value, step FROM run_metrics"))
+def a7_scan_run_log(spark, sf):
+    """The metric history written as a tree of log files in the shared folder, then scanned."""
+    root = io.scratch_path(spark, "runlog")
+    rl.write_metrics(dv.run_metrics(spark, sf), root)
+    back = rl.read_metrics(spark, root)
+    return back.select("experiment", "run_id", "metric", F.unix_millis("ts").alias("ms"), "value", "step")
+
+
 @register("a8_dedupe_metrics", sql=with_ctes(
     ["run_metrics"],
     """SELECT experiment, run_id, metric, step, ts, value FROM (
@@ -475,12 +485,18 @@ def i3_confusion_matrix(spark, sf):
 @register("i4_weighted_f1_from_scores", sql=with_ctes(
     [], "SELECT round(fw / n, 6) AS f1_weighted FROM ag",
     extra=[_sql_metrics("""(SELECT label AS y_true,
-        CAST(list_position(embedding[1:10], list_max(embedding[1:10])) - 1 AS INTEGER) AS y_pred
-        FROM embeddings)""").strip()]))
+        CAST(list_position(s, list_max(s)) - 1 AS INTEGER) AS y_pred
+        FROM (SELECT label, list_transform(range(10), lambda k: list_sum(list_transform(
+                range(k + 1, len(embedding) + 1, 10), lambda i: CAST(embedding[i] AS DOUBLE)))) AS s
+              FROM embeddings))""").strip()]))
 def i4_weighted_f1_from_scores(spark, sf):
-    """I4: weighted F1 of argmax over the first ten embedding components vs the label."""
+    """I4: weighted F1 of the argmax of ten scores vs the label; score k is the sum of the
+    embedding's components k, k + 10, k + 20, ..."""
+    def score(k):
+        mine = F.filter("embedding", lambda x, i: i % 10 == k)
+        return F.aggregate(mine, F.lit(0.0), lambda s, x: s + x.cast("double"))
     e = io.read_table(spark, sf, "embeddings").select(
-        "label", F.slice("embedding", 1, 10).alias("logits"))
+        "label", F.array(*[score(k) for k in range(10)]).alias("logits"))
     return mt.weighted_f1_from_scores(e).select(_r(F.col("f1_weighted"), "f1_weighted"))
 
 

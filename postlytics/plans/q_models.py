@@ -12,10 +12,12 @@ from postlytics.operators import modeling as md
 from postlytics.operators import segment as sg
 from postlytics.plans import derived as dv
 from postlytics.plans.derived import with_ctes
-from postlytics.plans.q_core import _r
+from postlytics.plans.q_core import SQL_CLEAN, _r, sql_tokenize
+from postlytics.plans.q_similarity import _long
 from postlytics.plans.registry import register
 from postlytics.sources import io
 
+GRID_TRIALS = {"tfidf": 2, "embedding": 2}   # trials of a pair in the registered grid
 EMB = em.HashedNgramEmbedder()
 
 
@@ -28,12 +30,33 @@ def _counts(spark, sf):
     return sg.unigram_counts(io.read_table(spark, sf, "documents"))
 
 
-@register("d9_segment_tags")
+SEGMENTED_SQL = [
+    "dt AS (SELECT DISTINCT unnest(tags) AS tag FROM tags)",
+    f"""uni AS (SELECT word, count(*) AS n FROM (SELECT unnest({sql_tokenize(SQL_CLEAN.format(x='text'))}) AS word
+              FROM documents) GROUP BY word)""", *sg.sql_segmented()]
+
+
+@register("d9_segment_tags", sql=with_ctes(["tags"], "SELECT tag, segmented FROM seg", extra=SEGMENTED_SQL,
+                                           recursive=True))
 def d9_segment_tags(spark, sf):
     """Every distinct hashtag split into words (corpus unigram model)."""
     return sg.segment(_distinct_tags(spark, sf), "tag", _counts(spark, sf))
 
 
+@register("d7_mean_segmented_tag_embedding", sql=with_ctes(
+    ["tags"], """SELECT post_id, CAST(dim AS INTEGER) AS dim, round(avg(v), 6) AS value FROM (
+                   SELECT post_id, unnest(e) AS v, unnest(range(len(e))) AS dim
+                   FROM (SELECT post_id, unnest(tags) AS tag FROM tags) JOIN seg USING (tag) JOIN ee USING (segmented))
+                 GROUP BY post_id, dim""",
+    extra=SEGMENTED_SQL + ["ds AS (SELECT DISTINCT segmented FROM seg)"] + EMB.sql_ctes("ee", "ds", "segmented", "segmented"),
+    recursive=True))
+def d7_mean_segmented_tag_embedding(spark, sf):
+    """Mean embedding of each post's hashtags, every tag segmented into words first."""
+    words = sg.segmenter(sg.unigram_counts(dv.texts(spark, sf)))
+    return _long(em.mean_embedding(dv.tags(spark, sf), "post_id", "tags", EMB, segmenter=words),
+                 ["post_id"], "embedding")
+
+
 @register("g1_cluster_hashtags")
 def g1_cluster_hashtags(spark, sf):
     """G1: segment -> embed -> standardise -> KMeans(8) over all distinct hashtags."""
@@ -76,6 +99,49 @@ def g4_assign_nearest(spark, sf):
     return cl.assign(sc.select("vec_id", "scaled"), "scaled", centres).select("vec_id", "cluster")
 
 
+CENTRES_SQL = ["""ex AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x,
+                                unnest(range(len(embedding))) AS dim FROM embeddings)""",
+               "mo AS (SELECT dim, avg(x) AS m, stddev_pop(x) AS s FROM ex GROUP BY dim)",
+               """z AS (SELECT vec_id, any_value(label) AS label, list(CASE WHEN s = 0 THEN 0.0 ELSE (x - m) / s END
+                       ORDER BY dim) AS v FROM ex JOIN mo USING (dim) GROUP BY vec_id)""",
+               """ce AS (SELECT v AS c, row_number() OVER (ORDER BY label) - 1 AS k FROM z
+                         WHERE vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label))""",
+               """nearest AS (SELECT vec_id, v, CAST(arg_min(k, (d, k)) AS INTEGER) AS cluster FROM (
+                    SELECT vec_id, v, k, list_sum(list_transform(list_zip(v, c),
+                           lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM z, ce) GROUP BY vec_id, v)"""]
+
+
+def _row_centres(spark, sf):
+    """(standardised embeddings, the first one of every label as centres)."""
+    sc = _scaled_embeddings(spark, sf)
+    labels = io.read_table(spark, sf, "embeddings").groupBy("label").agg(F.min("vec_id").alias("vec_id"))
+    rows = sc.join(F.broadcast(labels), "vec_id").orderBy("label").collect()   # a row per label
+    return sc, [list(r["scaled"]) for r in rows]
+
+
+@register("g4_assign_to_rows", sql="WITH " + ",\n".join(CENTRES_SQL) + " SELECT vec_id, cluster FROM nearest")
+def g4_assign_to_rows(spark, sf):
+    """Every embedding assigned to the nearest of ten given centres."""
+    sc, centres = _row_centres(spark, sf)
+    return cl.assign(sc.select("vec_id", "scaled"), "scaled", centres).select("vec_id", "cluster")
+
+
+@register("g5_search_among_rows", sql="WITH " + ",\n".join(CENTRES_SQL) + """,
+      q AS (SELECT v AS qv, cluster AS qc FROM nearest WHERE vec_id = (SELECT min(vec_id) FROM embeddings)),
+      hits AS (SELECT vec_id, cluster, list_dot_product(v, qv) / sqrt(list_dot_product(v, v) *
+                      list_dot_product(qv, qv)) AS sim FROM nearest, q
+               WHERE cluster = qc AND vec_id <> (SELECT min(vec_id) FROM embeddings))
+    SELECT vec_id, cluster, round(sim, 6) AS similarity FROM hits WHERE sim >= 0.05""")
+def g5_search_among_rows(spark, sf):
+    """Vectors in the cluster of the first embedding (given centres), cosine >= 0.05."""
+    sc, centres = _row_centres(spark, sf)
+    query = sc.orderBy("vec_id").first()
+    put = cl.assign(sc.select("vec_id", "scaled"), "scaled", centres).where(F.col("vec_id") != query["vec_id"])
+    put = put.select(F.col("vec_id").alias("element"), "cluster", F.col("scaled").alias("embedding_scaled"))
+    hits = cl.search_within_cluster(put, list(query["scaled"]), centres, threshold=0.05)
+    return hits.select(F.col("element").alias("vec_id"), "cluster", _r(F.col("similarity"), "similarity"))
+
+
 @register("g5_search_within_cluster")
 def g5_search_within_cluster(spark, sf):
     """Hashtags in the cluster of the most mentioned tag, cosine >= 0.5."""
@@ -103,6 +169,24 @@ def j2_folds(spark, sf):
     return p.select("post_id", "label", md.fold_column("post_id", "label").alias("fold"))
 
 
+FOLDS_SQL = with_ctes(["posts"], """
+  SELECT r.post_id, r.label, CAST(count(*) FILTER (e.upto <= r.r) AS INTEGER) AS fold
+  FROM r JOIN e USING (label) GROUP BY r.post_id, r.label""", extra=[
+    "tv AS (SELECT post_id, label FROM posts WHERE split IN ('train', 'validation'))",
+    """c AS (SELECT label, row_number() OVER (ORDER BY min(post_id)) AS c FROM tv GROUP BY label)""",
+    """r AS (SELECT post_id, label, row_number() OVER (ORDER BY c, post_id) - 1 AS p,
+             row_number() OVER (PARTITION BY label ORDER BY post_id) - 1 AS r FROM tv JOIN c USING (label))""",
+    """e AS (SELECT label, f, sum(n) OVER (PARTITION BY label ORDER BY f) AS upto FROM (
+             SELECT label, f, count(*) FILTER (p % 3 = f) AS n FROM r, range(3) x(f) GROUP BY label, f))"""])
+
+
+@register("j2_stratified_folds", sql=FOLDS_SQL)
+def j2_stratified_folds(spark, sf):
+    """The unshuffled stratified folds that trials are scored on."""
+    p = dv.posts(spark, sf).where(F.col("split").isin("train", "validation"))
+    return md.stratified_folds(p.select("post_id", "label"))
+
+
 def _features(spark, sf, method="tfidf"):
     p = dv.posts(spark, sf)
     tv = p.where(F.col("split").isin("train", "validation"))
@@ -112,14 +196,17 @@ def _features(spark, sf, method="tfidf"):
 
 
 @register("j3_tune_best_trial")
-def j3_tune_best_trial(spark, sf):
-    """4 seeded logistic-regression trials, 3-fold CV on train +
-    validation TF-IDF; one row per trial with its mean weighted F1."""
+def j3_tune_best_trial(spark, sf, n_trials=md.N_TRIALS["tfidf"], store=None):
+    """The reference's number of seeded logistic-regression trials, 3 folds each, on train +
+    validation TF-IDF; one row per trial with its mean weighted F1. With a ``store`` of an
+    earlier run, only trials that it lacks are fitted."""
     tv, _ = _features(spark, sf)
-    trials = md.draw_trials(md.LOGREG_SPACE, 4)
-    best, score, scores = md.cross_validate(tv.cache(), "logreg", trials)
-    rows = [(i, float(t["C"]), t["penalty"], float(s), t == best) for i, (t, s) in enumerate(zip(trials, scores))]
-    return spark.createDataFrame(rows, "trial int, C double, penalty string, cv_f1_weighted double, best boolean")
+    trials = md.draw_trials(md.LOGREG_SPACE, n_trials)
+    scored = md.optimize(tv, "logreg", trials, store or io.scratch_path(spark, "trials"), "logreg_tfidf")
+    params = spark.createDataFrame([(i, float(t["C"]), t["penalty"]) for i, t in enumerate(trials)],
+                                   "trial int, C double, penalty string")
+    return (params.join(scored, "trial")
+            .select("trial", "C", "penalty", F.col("score").alias("cv_f1_weighted"), "best"))
 
 
 @register("j6_fit_predict")
@@ -131,6 +218,25 @@ def j6_fit_predict(spark, sf):
     return pred
 
 
+TERM_VECTOR_SQL = with_ctes(["texts"], """
+  SELECT post_id, list(idx ORDER BY idx) AS indices, list(round(w / nr, 6) ORDER BY idx) AS "values" FROM (
+    SELECT t.post_id, idx, tf * idf AS w, sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY t.post_id)) AS nr
+    FROM tf t JOIN v USING (term)) GROUP BY post_id""", extra=[
+    r"""tf AS (SELECT post_id, term, count(*) AS tf FROM (
+           SELECT post_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM texts)
+         GROUP BY post_id, term)""",
+    """v AS (SELECT term, CAST(row_number() OVER (ORDER BY encode(term)) - 1 AS INTEGER) AS idx,
+             ln((1.0 + (SELECT count(*) FROM texts)) / (1.0 + count(*))) + 1.0 AS idf FROM tf GROUP BY term)"""])
+
+
+@register("j6_term_vectors", sql=TERM_VECTOR_SQL)
+def j6_term_vectors(spark, sf):
+    """The sparse vectors that models are fitted on, of all documents that have terms."""
+    t = dv.texts(spark, sf)
+    rounded = F.transform("values", lambda x: F.round(x, 6))
+    return ft.fit_term_vectors(t).weights(t).select("post_id", "indices", rounded.alias("values"))
+
+
 @register("j5_forest_predict")
 def j5_forest_predict(spark, sf):
     """Random forest (reference space, one seeded trial) on hashed
@@ -141,12 +247,21 @@ def j5_forest_predict(spark, sf):
     return pred
 
 
-def j7_experiment_grid(spark, sf):
-    """2 vectorisers x 2 models, tuned, fitted, scored: metrics + seconds. Not registered: with the
-    reference's forest space (up to 500 trees, depth 30) it runs for
-    minutes even at sf0.01; tests/test_models.py runs it on a fixture."""
-    _, mets = md.experiment_grid(dv.posts(spark, sf), trials_per_model=1)
-    return mets
+@register("j7_experiment_grid")
+def j7_experiment_grid(spark, sf, n_trials=None, store=None):
+    """2 vectorisers x 2 models, tuned, fitted, scored: metrics, seconds and best parameters.
+    The query tunes with ``GRID_TRIALS``; the reference's numbers are the operator's defaults."""
+    return md.experiment_grid(dv.posts(spark, sf), store or io.scratch_path(spark, "grid"),
+                              n_trials=n_trials or GRID_TRIALS)
+
+
+@register("j8_stored_model")
+def j8_stored_model(spark, sf):
+    """The model of j6 stored, loaded and applied to the test split."""
+    tv, te = _features(spark, sf)
+    path = io.scratch_path(spark, "model")
+    md.save_model(md.make_estimator("logreg", {"C": 1.0, "penalty": "l2"}, tv.count()).fit(tv), path)
+    return md.score_with(te, path)
 
 
 def _length_rule_model():

@@ -98,15 +98,6 @@ def d7_mean_tag_embedding(spark, sf):
     return _long(em.mean_embedding(t, "post_id", "tags", EMB), ["post_id"], "embedding")
 
 
-@register("d7_mean_segmented_tag_embedding")
-def d7_mean_segmented_tag_embedding(spark, sf):
-    """Mean embedding of each post's hashtags, every tag segmented into words first."""
-    from postlytics.operators import segment as sg
-    words = sg.segmenter(sg.unigram_counts(dv.texts(spark, sf)))
-    return _long(em.mean_embedding(dv.tags(spark, sf), "post_id", "tags", EMB, segmenter=words),
-                 ["post_id"], "embedding")
-
-
 @register("d8_standardize", sql="""WITH ex AS (
         SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS dim FROM embeddings),
       st AS (SELECT dim, avg(x) AS m, stddev_pop(x) AS s FROM ex GROUP BY dim)

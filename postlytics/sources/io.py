@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from postlytics.session import ensure_checkpoint_dir
+
 POSTS_SCHEMA = T.StructType([
     T.StructField("post_id", T.LongType(), False),
     T.StructField("text", T.StringType(), True),
@@ -24,18 +27,26 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in any store that Spark reads."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def scratch_path(spark: SparkSession, kind: str) -> str:
+    """A new name below the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
 def load_posts(spark: SparkSession, path: str, fmt: str = "parquet",
                schema: T.StructType = POSTS_SCHEMA, **options) -> DataFrame:
     """A1: load the labelled corpus, all splits.
 
     ``path`` is a folder laid out as ``split=<name>/...`` (Hive style) or
     files that carry a ``split`` column. The schema is given, never
-    inferred, so JSON/CSV read the same columns as parquet.
+    inferred, so all formats read the same columns (those that a file lacks are null).
     """
-    reader = spark.read.format(fmt).options(**options)
-    if fmt != "parquet":
-        reader = reader.schema(schema)
-    return reader.load(path)
+    return spark.read.format(fmt).options(**options).schema(schema).load(path)
 
 
 def pick_split(posts: DataFrame, split: str) -> DataFrame:

@@ -22,12 +22,12 @@ def _posts(spark, n=90):
     return spark.createDataFrame(rows, "post_id long, text string, label int, split string")
 
 
-def test_experiment_grid_logreg(spark):
-    preds, mets = md.experiment_grid(_posts(spark), methods=("tfidf",), models=("logreg",),
-                                     trials_per_model=1)
+def test_experiment_grid_logreg(spark, tmp_path):
+    mets = md.experiment_grid(_posts(spark), str(tmp_path / "grid"), methods=("tfidf",), models=("logreg",),
+                              n_trials={"tfidf": 1})
     r = mets.first()
     assert r.model == "logreg" and r.accuracy > 0.9 and r.seconds > 0
-    assert preds.count() == 18
+    assert spark.read.parquet(str(tmp_path / "grid" / "predictions")).count() == 18
 
 
 def test_kmeans_labels_are_nearest_centres(spark):
@@ -75,3 +75,31 @@ def test_segment(spark):
     tags = spark.createDataFrame([("#MachineLearning",), ("#fun_learning",)], "tag string")
     got = {r.tag: r.segmented for r in sg.segment(tags, "tag", counts).collect()}
     assert got == {"#MachineLearning": "machine learning", "#fun_learning": "fun learning"}
+
+
+def test_segment_equals_a_plain_dynamic_program(spark):
+    import math
+    import random
+    rnd = random.Random(4)
+    words = ["a", "ab", "abc", "bca", "cab", "ba", "c"]
+    texts = spark.createDataFrame([(" ".join(rnd.choice(words) for _ in range(30)),) for _ in range(20)], "text string")
+    counts = sg.unigram_counts(texts)
+    known, total = {r.word: r.n for r in counts.collect()}, sum(r.n for r in counts.collect())
+    tags = ["#" + "".join(rnd.choice("abcd") for _ in range(rnd.randint(0, 14))) for _ in range(60)] + [None, "#É_x"]
+
+    def best(text, longest):
+        ways = [(0.0, [])]
+        for j in range(1, len(text) + 1):
+            options = []
+            for i in range(max(0, j - longest), j):
+                w = text[i:j]
+                p = known[w] / total if w in known else 10.0 / (total * 10.0 ** len(w))
+                options.append((ways[i][0] + math.log(p), -i, ways[i][1] + [w]))
+            top = max(options, key=lambda o: (o[0], o[1]))
+            ways.append((top[0], top[2]))
+        return " ".join(ways[-1][1])
+    df = spark.createDataFrame([(t,) for t in tags], "tag string")
+    for longest in (24, 2):
+        got = {r.tag: r.segmented for r in sg.segment(df, "tag", counts, max_word=longest).collect()}
+        for t in tags[:-2] + ["#É_x"]:
+            assert got[t] == best(t.lower().replace("#", "").replace("_", ""), longest)

@@ -93,3 +93,22 @@ def test_load_posts_partitioned_formats(spark):
     parts = io.assemble_splits({"train": df.where("split = 'train'").drop("split"),
                                 "test": df.where("split = 'test'").drop("split")})
     assert sorted((r.post_id, r.split) for r in parts.collect()) == [(1, "train"), (2, "test"), (3, "train")]
+
+
+def test_write_and_read_a_tree(spark):
+    root = tempfile.mkdtemp(prefix="tree-")
+    rows = [("e", f"r{i % 3}", m, f"2024-01-01 00:00:{i:02d}", i / 7, i) for i in range(30)
+            for m in ("eval_f1", "system/gpu_0", "with blank")]
+    rows.append(("e", "r0", "eval_f1", "2024-01-01 00:00:00", 0.1, 2 ** 60 + 1))
+    history = (spark.createDataFrame(rows, "experiment string, run_id string, metric string, ts string, "
+                                           "value double, step long")
+               .withColumn("ts", F.col("ts").cast("timestamp")))
+    files = {r.file: r.n for r in rl.write_metrics(history, root).collect()}
+    assert len(files) == 9 and sum(files.values()) == 91 and files["e/r0/metrics/eval_f1"] == 11
+    cols = ["experiment", "run_id", "metric", "ts", "value", "step"]
+    back = rl.read_metrics(spark, root).select(cols)
+    assert sorted(back.collect()) == sorted(history.select(cols).collect())
+    with open(os.path.join(root, "e/r1/metrics/eval_f1")) as f:
+        steps = [int(x.split()[2]) for x in f]
+    assert steps == sorted(steps)
+    assert rl.write_metrics(history.limit(0), root + "/none").count() == 0
