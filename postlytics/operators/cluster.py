@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from postlytics.operators import features as ft
 from postlytics.operators.similarity import cosine, vector_literal
+from postlytics.session import cut_lineage
 
 SEED_BLOCK = 2000  # seeds per pass over the points
 BANDWIDTH_SAMPLE = 2000
@@ -197,7 +198,8 @@ def cluster_elements(df: DataFrame, element_col: str, embedder, n_clusters: int
     if segmenter is not None:
         el = segmenter(el, "element", "segmented")
         text = "segmented"
-    emb = embedder.add_column(el, text, "embedding")
+    # read by the statistics, by every pass of the clustering and by its result
+    emb = cut_lineage(embedder.add_column(el, text, "embedding"))
     means, stds = ft.column_stats(emb, "embedding")
     scaled = ft.standardize(emb, "embedding", "embedding_scaled")
     if n_clusters:

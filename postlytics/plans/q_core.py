@@ -107,11 +107,13 @@ def a5_eval_metrics(spark, sf):
 
 
 @register("a7_scan_run_log", sql=with_ctes(
-    ["run_metrics"], "SELECT experiment, run_id, metric, epoch_ms(ts) AS ms, value, step FROM run_metrics"))
+    ["run_metrics"], "SELECT experiment, run_id, metric, epoch_us(ts) // 1000 AS ms, value, step FROM run_metrics"))
 def a7_scan_run_log(spark, sf):
     """The metric history written as a tree of log files in the shared folder, then scanned."""
     root = io.scratch_path(spark, "runlog")
-    rl.write_metrics(dv.run_metrics(spark, sf), root)
+    # the table's times have no zone: they count as UTC, whatever the session's zone is
+    ms = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)")
+    rl.write_metrics(dv.run_metrics(spark, sf).withColumn("ts", F.timestamp_millis(ms)), root)
     back = rl.read_metrics(spark, root)
     return back.select("experiment", "run_id", "metric", F.unix_millis("ts").alias("ms"), "value", "step")
 
