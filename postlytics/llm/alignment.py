@@ -163,13 +163,14 @@ class Sides:
         """Whether another piece may follow in one text without a change to this one's tokens."""
         return self.cuts and piece != "" and not piece[-1].isspace() and "▁" not in piece
 
-    def ids(self, pieces: list[str]):
+    def ids(self, pieces: list[str], joined: bool):
         """Ids of pieces and the spaces before them: (ids of A, how many in each piece, ids of B, how
-        many, whether both sides' bytes are the text's). Plain pieces are encoded as one text, and
-        its ids dealt to them by their bytes; others, and all if that fails, one by one."""
+        many, whether both sides' bytes are the text's). Plain pieces may be ``joined``: encoded as
+        one text, whose ids are dealt to them by their bytes; others, and all if that fails, are
+        encoded one by one."""
         import numpy as np
 
-        if len(pieces) > 1 and all(map(self.plain, pieces)):
+        if joined:
             text = " ".join(pieces)
             a, b, same = self._encoded(text)
             bounds = np.cumsum([len(p.encode("utf-8", "surrogatepass")) + 1 for p in pieces])
@@ -300,7 +301,9 @@ class PieceTable:
             self._keep(np.sort(np.argsort(-self.uses.rows, kind="stable")[:PIECES // 2]))
             new = set(pieces).difference(self.slot)
         if new:
-            self._add(sorted(new, key=lambda p: (not self.sides.plain(p), p)))
+            odd = [p for p in new if not self.sides.plain(p)]
+            new.difference_update(odd)
+            self._add([*new, *odd], len(new))
         out = np.fromiter(map(self.slot.__getitem__, pieces), np.int64, len(pieces))
         np.add.at(self.uses.held, out, 1)
         return out
@@ -327,20 +330,20 @@ class PieceTable:
         sizes = self.size.held[places]
         return np.arange(sizes.sum()) + np.repeat(self.start.held[places] - (np.cumsum(sizes) - sizes), sizes), sizes
 
-    def _add(self, new: list[str]) -> None:
+    def _add(self, new: list[str], plain: int) -> None:
+        """Aligns new pieces, of which the first ``plain`` ones are plain."""
         import numpy as np
 
         base, numbers, said, found = len(self.said), np.zeros((len(new), 5), np.int64), [], []
-        plain = sum(map(self.sides.plain, new))       # these come first
         self.slot.update(zip(new, range(base, base + len(new)), strict=True))
         lo = held = 0
         for hi, piece in enumerate(new):
             # a long piece is a block of its own
             if held and (held + len(piece) > BLOCK_BYTES or hi == plain):
-                found.append(self._align(new[lo:hi], lo, numbers, said))
+                found.append(self._align(new[lo:hi], lo, numbers, said, hi <= plain))
                 lo, held = hi, 0
             held += len(piece) + 1
-        found.append(self._align(new[lo:], lo, numbers, said))
+        found.append(self._align(new[lo:], lo, numbers, said, len(new) <= plain))
         owner, pairs, times = (np.concatenate([f[k] for f in found]) for k in range(3))
         ids, col = np.unique(pairs, return_inverse=True)
         links = CSR.of_pairs(owner, col, times, len(new), max(len(ids), 1))
@@ -353,13 +356,13 @@ class PieceTable:
         self.pairs.add(ids[links.indices] if len(ids) else pairs)
         self.times.add(links.data)
 
-    def _align(self, pieces: list[str], first: int, numbers, said: list):
+    def _align(self, pieces: list[str], first: int, numbers, said: list, joined: bool):
         """Aligns pieces at once (their numbers are written from row ``first`` on, their groups added
         to ``said``); arrays (row, pair, times)."""
         import numpy as np
 
         s = self.sides
-        a, n_a, b, n_b, same = s.ids(pieces)
+        a, n_a, b, n_b, same = s.ids(pieces, joined)
         if not same.all():
             a, b = a[np.repeat(same, n_a)], b[np.repeat(same, n_b)]
             n_a, n_b = n_a * same, n_b * same
