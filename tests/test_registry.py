@@ -11,7 +11,7 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "embeddings pages benchmark labels conversations").split()
 LARGER = "/root/testdata/sf0.01"   # for queries that draw more rows than the smallest splits have
 TOO_SMALL = {"e1_stratified_sample", "p8_few_shot_sweep", "a3_assemble_splits"}
-SLOW = {"j3_tune_best_trial", "j7_experiment_grid"}   # test_tuning.py has them with fewer trials
+SLOW = {"h4_communities", "j3_tune_best_trial", "j7_experiment_grid"}   # other tests have them on small inputs
 
 
 def norm(v):
