@@ -38,6 +38,9 @@ HEADLINE = [
     "h0_cooccurrence_graph",
     "h3_top_similar",
     "h5_recommend",
+    "d9_segment_tags",
+    "g2_kmeans",
+    "j6_fit_predict",
 ]
 
 
