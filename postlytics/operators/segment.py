@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlytics.functions import text as tx
+from postlytics.session import materialize
 
 # --- fixed values (MAX_WORD: the default of a parameter) --------------------
 MAX_WORD = 24
@@ -57,40 +58,57 @@ def best_ends(norm: Column, known: Column, total: float, max_word: int) -> Colum
 
 
 def split_words(norm: Column, ends: Column) -> Column:
-    """The words of the best split, from the last one back."""
+    """The words of the best split, from the last one back. ``ends`` rides in the state of the
+    fold, so that it is worked out once and not in every step."""
     def step(state, _):
-        start = -F.get(ends, state.at).b
+        start = -F.get(state.ends, state.at).b
         word = F.substring(norm, start + 1, state.at - start)
-        more = F.struct(start.alias("at"), F.concat(F.array(word), state.words).alias("words"))
+        more = F.struct(start.alias("at"), F.concat(F.array(word), state.words).alias("words"),
+                        state.ends.alias("ends"))
         return F.when(state.at > 0, more).otherwise(state)
-    begin = F.struct(F.length(norm).alias("at"), F.array().cast("array<string>").alias("words"))
+    begin = F.struct(F.length(norm).alias("at"), F.array().cast("array<string>").alias("words"),
+                     ends.alias("ends"))
     words = F.aggregate(F.sequence(F.lit(1), F.length(norm)), begin, step, lambda state: state.words)
     return F.when(F.length(norm) > 0, F.array_join(words, " ")).otherwise("")
 
 
 def segment(elements: DataFrame, col: str, counts: DataFrame, out_col: str = "segmented",
             max_word: int = MAX_WORD) -> DataFrame:
-    """Add ``out_col`` (words joined by spaces) to a frame of elements."""
+    """Add ``out_col`` (words joined by spaces) to a frame of elements.
+
+    All joins are shuffled ones: counts, candidates and segmented tags grow with the corpus, and
+    AQE, which sees compressed sizes, would send them through the driver."""
+    counts = materialize(counts)  # read for the total and for the candidates
     total = float(counts.agg(F.sum("n")).first()[0] or 1.0)
-    tags = elements.select(F.col(col).alias("_tag")).distinct().withColumn("_norm", normalise_tag("_tag"))
+    tags = elements.select(F.col(col).alias("_tag")).distinct()
+    normed = tags.withColumn("_norm", normalise_tag("_tag"))
     L = F.length("_norm")
-    subs = (tags.select("_tag", "_norm", F.explode_outer(F.sequence(F.lit(1), F.greatest(L, F.lit(1))))
-                        .alias("_i"))
+    subs = (normed.select("_tag", "_norm", F.explode_outer(F.sequence(F.lit(1), F.greatest(L, F.lit(1))))
+                          .alias("_i"))
             .select("_tag", "_norm", "_i", F.explode_outer(F.sequence(
                 F.lit(1), F.least(F.lit(max_word), F.greatest(L - F.col("_i") + 1, F.lit(1))))).alias("_k"))
-            .select("_tag", "_norm", F.substring("_norm", F.col("_i"), F.col("_k")).alias("word")))
-    known = (subs.join(counts, "word")
-             .groupBy("_tag").agg(F.map_from_entries(F.collect_set(F.struct("word", "n"))).alias("_known")))
-    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
-    cand = tags.join(known, "_tag", "left").withColumn("_known", F.coalesce("_known", none))
+            .select("_tag", F.substring("_norm", F.col("_i"), F.col("_k")).alias("word")))
+    pair = F.struct("word", "n")
+    known = subs.join(counts.hint("merge"), "word").select("_tag", pair.alias("_p"))
+    # a row without a pair for every tag: those without known words stay
+    every = known.unionByName(tags.select("_tag", F.lit(None).cast(known.schema["_p"].dataType).alias("_p")))
+    cand = (every.groupBy("_tag").agg(F.map_from_entries(F.collect_set("_p")).alias("_known"))
+            .withColumn("_norm", normalise_tag("_tag")))
     ends = cand.withColumn("_ends", best_ends(F.col("_norm"), F.col("_known"), total, max_word))
     seg = ends.select("_tag", split_words(F.col("_norm"), F.col("_ends")).alias(out_col))
-    return elements.join(seg, elements[col] == seg["_tag"], "left").drop("_tag")
+    return elements.join(seg.hint("merge"), elements[col] == seg["_tag"], "left").drop("_tag")
 
 
 def segmenter(counts: DataFrame, max_word: int = MAX_WORD):
-    """A ``segmenter(df, col, out_col)`` callable for :func:`cluster_elements`."""
-    return lambda df, col, out: segment(df, col, counts, out, max_word)
+    """A ``segmenter(df, col, out_col)`` callable for :func:`cluster_elements`; the counts are
+    worked out at its first call, for all of them."""
+    stored: list[DataFrame] = []
+
+    def run(df: DataFrame, col: str, out: str) -> DataFrame:
+        if not stored:
+            stored.append(materialize(counts))
+        return segment(df, col, stored[0], out, max_word)
+    return run
 
 
 def sql_segmented(max_word: int = MAX_WORD) -> list[str]:
