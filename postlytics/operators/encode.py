@@ -4,9 +4,8 @@ length grouping.
 The vocabulary is built by Spark (``groupBy(token).count()``, whole unless
 a size is asked for); ids are global ranks from a range-partitioned sort.
 A vocabulary whose size is checked to be small is broadcast as a dictionary
-and applied to the token arrays in place; beyond that the exploded tokens are
-joined to it (the most frequent ones salted on both sides), and each row's id
-list is rebuilt from its own tokens.
+and applied to the token arrays in place; of a larger one the most frequent
+tokens are, and only the rest of each row's tokens is joined to it.
 """
 
 from __future__ import annotations
@@ -16,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlytics.session import cut_lineage
+from postlytics.sources.io import stored
 
 # --- fixed values: special token ids ---------------------------------------
 PAD_ID, UNK_ID, CLS_ID, SEP_ID = 0, 1, 2, 3
@@ -23,8 +23,8 @@ FIRST_WORD_ID = 4
 IGNORE_INDEX = -100
 RESPONSE_TEMPLATE = "### Sentiment:"
 PACK_LENGTH = 2048
-HOT_TOKENS, HOT_SALTS = 64, 16  # tokens salted in the vocabulary join, and how often
-DICTIONARY_BYTES = 64 << 20     # a vocabulary up to this size is held by every worker
+REST_ID = -1                 # a token that isn't in the dictionary, while ids are looked up
+DICTIONARY_BYTES = 64 << 20  # as much of a vocabulary is held by every worker
 # Prompt tokenizer: runs of word characters, or one other non-space character.
 PROMPT_TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
 # ---------------------------------------------------------------------------
@@ -70,45 +70,49 @@ def token_ids(df: DataFrame, id_col: str, tokens_col: str, vocab: DataFrame,
     """Map each row's tokens to ids (unknown -> UNK), order kept.
 
     A vocabulary of at most ``dictionary_bytes`` (its tokens, and 100 bytes for each) goes to the
-    workers as a dictionary, and rows are mapped in place: no shuffle. A larger one is joined
-    with the exploded tokens."""
-    size = vocab.agg(F.sum(F.octet_length("token") + 100)).first()[0] or 0
-    if size <= dictionary_bytes:
+    workers as a dictionary, and rows are mapped in place: no shuffle. Of a larger one, the most
+    frequent tokens do, and the others are joined."""
+    size, n = vocab.agg(F.sum(F.octet_length("token") + 100), F.count(F.lit(1))).first()
+    if (size or 0) <= dictionary_bytes:
         return _ids_by_dictionary(df, tokens_col, vocab, out_col)
-    return _ids_by_join(df, id_col, tokens_col, vocab, out_col)
+    # ids are frequency ranks: the most frequent tokens are the first ones
+    held = vocab.where(F.col("id") < FIRST_WORD_ID + n * dictionary_bytes // size)
+    return _ids_by_join(df, id_col, tokens_col, vocab, held, out_col)
 
 
-def _ids_by_dictionary(df: DataFrame, tokens_col: str, vocab: DataFrame, out_col: str) -> DataFrame:
+def _ids_by_dictionary(df: DataFrame, tokens_col: str, vocab: DataFrame, out_col: str,
+                       other: int = UNK_ID) -> DataFrame:
     rows = vocab.select("token", "id").toPandas()
     known = df.sparkSession.sparkContext.broadcast(dict(zip(rows["token"], rows["id"].tolist(), strict=True)))
 
     @F.pandas_udf("array<int>")
     def run(lists: pd.Series) -> pd.Series:
         get = known.value.get
-        return pd.Series([[] if tokens is None else [get(t, UNK_ID) for t in tokens] for tokens in lists])
+        return pd.Series([[] if tokens is None else [get(t, other) for t in tokens] for tokens in lists])
 
     return df.withColumn(out_col, run(tokens_col))
 
 
-def _ids_by_join(df: DataFrame, id_col: str, tokens_col: str, vocab: DataFrame, out_col: str) -> DataFrame:
-    ex = (df.select(id_col, F.posexplode_outer(tokens_col).alias("pos", "token"))
-          .where(F.col("pos").isNotNull()))
-    # ids are frequency ranks: the most frequent tokens meet under HOT_SALTS sub-keys
-    voc = vocab.select("token", F.col("id").alias("_vid"), F.explode(F.when(
-        F.col("id") < FIRST_WORD_ID + HOT_TOKENS, F.sequence(F.lit(0), F.lit(HOT_SALTS - 1)))
-        .otherwise(F.array(F.lit(0)))).alias("_salt"))
-    hot = [r["token"] for r in vocab.where(F.col("id") < FIRST_WORD_ID + HOT_TOKENS)
-           .select("token").collect()]  # at most HOT_TOKENS
-    salt = F.when(F.col("token").isin(hot), F.pmod(F.xxhash64(id_col, "pos"), F.lit(HOT_SALTS))
-                  .cast("int")).otherwise(0) if hot else F.lit(0)
-    mapped = (ex.withColumn("_salt", salt).join(voc, ["token", "_salt"], "left")
-              .select(id_col, "pos", F.coalesce(F.col("_vid"), F.lit(UNK_ID)).alias("_vid")))
-    lists = (mapped.groupBy(id_col)
-             .agg(F.sort_array(F.collect_list(F.struct("pos", "_vid"))).alias("_p"))
-             .select(id_col, F.transform("_p", lambda s: s["_vid"]).alias(out_col)))
+def _ids_by_join(df: DataFrame, id_col: str, tokens_col: str, vocab: DataFrame, held: DataFrame,
+                 out_col: str) -> DataFrame:
+    """Ids from a dictionary of the tokens of ``held``, written once; only the other tokens, by
+    Zipf's law a small part of a text, are joined with the vocabulary, once per row, and put
+    into their places. Rows of the same id and tokens share them."""
+    rest = F.array_distinct(F.filter(F.zip_with(tokens_col, "_ids", lambda t, i: F.when(i == REST_ID, t)),
+                                     lambda t: t.isNotNull()))
+    # the others are numbered -1, -2, ... within the row: the tokens themselves needn't be shuffled
+    ids = F.zip_with(tokens_col, "_ids", lambda t, i: F.when(i != REST_ID, i).otherwise(
+        F.coalesce(-F.array_position("_rest", t).cast("int"), F.lit(UNK_ID))))
+    part = stored(_ids_by_dictionary(df, tokens_col, held, "_ids", REST_ID).withColumn("_rest", rest)
+                  .withColumn("_ids", ids).withColumn("_h", F.xxhash64(tokens_col)))
+    rare = part.select(F.col(id_col).alias("_id"), F.col("_h").alias("_hash"), F.explode("_rest").alias("token"))
+    found = (rare.distinct().join(vocab.hint("merge"), "token").groupBy("_id", "_hash")
+             .agg(F.map_from_entries(F.collect_list(F.struct("token", "id"))).alias("_found")))
+    met = part.join(found.hint("merge"), part[id_col].eqNullSafe(found["_id"]) & (F.col("_h") == F.col("_hash")), "left")
+    ids = F.transform("_ids", lambda i: F.when(i >= 0, i).otherwise(
+        F.coalesce(F.try_element_at("_found", F.get("_rest", -i - 1)), F.lit(UNK_ID))))
     empty = F.array().cast("array<int>")
-    return (df.join(lists, id_col, "left")
-            .withColumn(out_col, F.coalesce(F.col(out_col), empty)))
+    return met.select(*df.columns, F.coalesce(ids, empty).alias(out_col))
 
 
 def pad_truncate(ids, max_length: int, special: bool = True):
