@@ -171,12 +171,17 @@ def few_shot_samples(df: DataFrame, ks, label_col: str = "label", id_col: str =
     n_cls = len(counts)
     k_max = max(ks)
     q_max = k_max // n_cls
-    cols = [id_col, label_col, *keep]
-    per_class = smallest_per_group(df, label_col, {c: q_max for c in counts}, id_col, seed)
-    overall = (df.withColumn("_h", draw_hash(id_col, seed)).orderBy("_h", id_col)
+    # the draw sees ids, labels and a hash of the columns to keep; these are fetched for the
+    # candidates only
+    rows = df.select(id_col, label_col, *keep).withColumn("_key", F.xxhash64(*keep) if keep else F.lit(0))
+    light = rows.select(id_col, label_col, "_key")
+    per_class = smallest_per_group(light, label_col, {c: q_max for c in counts}, id_col, seed)
+    overall = (light.withColumn("_h", draw_hash(id_col, seed)).orderBy("_h", id_col)
                .limit(k_max + n_cls).drop("_h"))
-    cand = (per_class.select(*cols).unionByName(overall.select(*cols)).distinct()
-            .withColumn("_h", draw_hash(id_col, seed)).collect())
+    drawn = per_class.unionByName(overall).distinct().toDF("_id", "_label", "_drawn")
+    cand = (rows.join(F.broadcast(drawn), F.col(id_col).eqNullSafe(F.col("_id"))
+                      & F.col(label_col).eqNullSafe(F.col("_label")) & (F.col("_key") == F.col("_drawn")), "left_semi")
+            .drop("_key").distinct().withColumn("_h", draw_hash(id_col, seed)).collect())
     cand.sort(key=lambda r: (r["_h"], r[id_col]))
     out = {}
     for k in ks:
