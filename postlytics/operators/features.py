@@ -3,7 +3,8 @@
 The long form is what scales and what SQL can check: a term table instead of
 a matrix, document frequencies by ``groupBy(term)``, the L2 norm by a window
 over the rows of one document. The idf table is vocabulary-sized and joined;
-a bounded number of its commonest terms is broadcast.
+a bounded number of its commonest terms is broadcast. Where weights are
+computed, texts are dealt by id once and the rows of their terms stay there.
 """
 
 from __future__ import annotations
@@ -24,6 +25,18 @@ def term_counts(df: DataFrame, id_col: str = "post_id", text_col: str = "text")
               .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
+TEXT_BYTES = 8 << 20  # text aimed at in a partition; its terms take some 20 times that in memory
+
+
+def dealt_counts(df: DataFrame, id_col: str = "post_id", text_col: str = "text") -> tuple[DataFrame, int]:
+    """:func:`term_counts` with all rows of an id in one of so many partitions, and their number.
+    Texts are shuffled, a third of the size of their terms; what follows by id needs no shuffle.
+    Nothing is stored: the terms are ten times the texts, and a checkpoint forgets the partitions."""
+    size = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    parts = -(-size // TEXT_BYTES) or 1
+    return term_counts(df.select(id_col, text_col).repartition(parts, id_col), id_col, text_col), parts
+
+
 @dataclass
 class TfidfModel:
     """A fitted TF-IDF vocabulary: ``idf(term, df, idf)``, stored, and the corpus size."""
@@ -34,22 +47,37 @@ class TfidfModel:
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Weights for (unseen) text; terms outside the vocabulary are ignored."""
-        counts = cut_lineage(term_counts(df, self.id_col, self.text_col))
-        return _l2_normalise(join_terms(counts, self.idf), self.id_col)
+        counts, parts = dealt_counts(df, self.id_col, self.text_col)
+        return _l2_normalise(join_terms(counts, self.idf, dealt=(parts, self.id_col)), self.id_col)
 
 
-HOT_TERMS = 4096  # the commonest terms, which every task of a join with a term table holds
+HOT_TERMS = 1 << 17  # the commonest terms, which every task of a join with a term table holds
 
 
 def join_terms(rows: DataFrame, terms: DataFrame, term_col: str = "term",
-               count_col: str = "df") -> DataFrame:
+               count_col: str = "df", dealt: tuple | None = None) -> DataFrame:
     """Inner join of rows with a table of one row per term (and its number of rows). Terms follow
-    Zipf's law: the ``HOT_TERMS`` commonest ones are broadcast, so that their rows stay where
-    they are; only the rows of rarer terms are shuffled. Both frames are read more than once
-    and should be stored ones."""
-    hot = F.broadcast(terms.orderBy(F.col(count_col).desc(), term_col).limit(HOT_TERMS))
-    rare = rows.join(hot.select(term_col), term_col, "left_anti")
-    return rows.join(hot, term_col).unionByName(rare.join(terms, term_col)).drop(count_col)
+    Zipf's law: at most ``HOT_TERMS`` of the commonest ones are broadcast, so that their rows stay
+    where they are; only the rows of rarer terms are shuffled, and dealt back if ``rows`` are
+    ``dealt`` to a number of partitions by a column. Both frames are read more than once;
+    ``terms`` should be a stored one."""
+    hot = F.broadcast(terms.where(F.col(count_col) >= _hot_count(terms, count_col)))
+    rare = rows.join(hot.select(term_col), term_col, "left_anti").join(terms, term_col)
+    if dealt is not None:
+        rare = rare.repartition(*dealt)
+    return rows.join(hot, term_col).unionByName(rare).drop(count_col)
+
+
+def _hot_count(terms: DataFrame, count_col: str) -> int:
+    """The least count that at most ``HOT_TERMS`` terms reach. One row per different count comes
+    to the driver: no more than the root of twice the number of rows counted."""
+    least, upto = 1 << 62, 0
+    for r in sorted(terms.groupBy(F.col(count_col).alias("c")).count().collect(), key=lambda r: -r["c"]):
+        upto += r["count"]
+        if upto > HOT_TERMS:
+            break
+        least = r["c"]
+    return least
 
 
 def _smoothed(n: int):
@@ -75,19 +103,19 @@ def _l2_normalise(weighted: DataFrame, id_col: str) -> DataFrame:
 def fit_tfidf(df: DataFrame, id_col: str = "post_id", text_col: str = "text") -> TfidfModel:
     """D3 fit: smoothed idf ``ln((1 + n) / (1 + df)) + 1`` over the documents of ``df``."""
     n = df.count()
-    return TfidfModel(cut_lineage(_idf(term_counts(df, id_col, text_col), n)), n, id_col, text_col)
+    counts, _ = dealt_counts(df, id_col, text_col)
+    return TfidfModel(cut_lineage(_idf(counts, n)), n, id_col, text_col)
 
 
 def tfidf(df: DataFrame, id_col: str = "post_id", text_col: str = "text"):
     """D3: fit on ``df`` and transform it; returns ``(weights, model)``.
 
-    The term-count table feeds several branches; it is written once to the
-    checkpoint folder, so the texts are tokenized once.
+    Texts are dealt and tokenized once for the fit, and once more for each branch of the join.
     """
     n = df.count()
-    counts = cut_lineage(term_counts(df, id_col, text_col))
+    counts, parts = dealt_counts(df, id_col, text_col)
     model = TfidfModel(cut_lineage(_idf(counts, n)), n, id_col, text_col)
-    return _l2_normalise(join_terms(counts, model.idf), id_col), model
+    return _l2_normalise(join_terms(counts, model.idf, dealt=(parts, id_col)), id_col), model
 
 
 def extract_features(df: DataFrame, method: str = "tfidf", id_col: str = "post_id",
@@ -113,9 +141,9 @@ class TermVectors:
 
     def weights(self, df: DataFrame, id_col: str = "post_id", text_col: str = "text") -> DataFrame:
         """``(id, indices, values)``: L2-normalised weights of the texts that have known terms."""
-        counts = cut_lineage(term_counts(df, id_col, text_col))
+        counts, parts = dealt_counts(df, id_col, text_col)
         pair = F.struct("idx", (F.col("tf") * F.col("idf")).alias("w"))
-        of_row = (join_terms(counts, self.terms).select(id_col, pair.alias("p"))
+        of_row = (join_terms(counts, self.terms, dealt=(parts, id_col)).select(id_col, pair.alias("p"))
                   .groupBy(id_col).agg(F.sort_array(F.collect_list("p")).alias("p"))
                   .withColumn("n", F.sqrt(F.aggregate("p", F.lit(0.0), lambda s, x: s + x.w * x.w))))
         return of_row.select(id_col, F.transform("p", lambda x: x.idx).alias("indices"), F.zip_with(
@@ -153,7 +181,8 @@ def fit_term_vectors(df: DataFrame, id_col: str = "post_id", text_col: str = "te
     (or 1): a range-partitioned sort gives every term its place."""
     from postlytics.operators.encode import global_rank
     n = df.count()
-    counts = term_counts(df, id_col, text_col).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    dealt, _ = dealt_counts(df, id_col, text_col)
+    counts = dealt.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     ranked = global_rank(counts, [F.col("term")], "idx")
     idf = _smoothed(n) if use_idf else F.lit(1.0)
     terms = ranked.select("term", F.col("idx").cast("int").alias("idx"), idf.alias("idf"),
