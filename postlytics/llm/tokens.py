@@ -16,7 +16,6 @@ from itertools import chain
 
 MAX_ENTRIES = 400_000   # of a generation of a table, per worker
 MAX_PIECE = 48          # longer pieces are encoded each time
-ODD_SPACE = re.compile(r"\s\s|[^\S \n]|^\s")
 CUT = re.compile(r"(?<=\S)(?=[ \n])")
 # a plain word: Latin-1 letters, then ASCII punctuation; both kinds split it just there
 WORD = re.compile(r"([ \n]?)([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-/:-@\[-`{-~]*)")
@@ -69,6 +68,13 @@ class Memo(dict):
         return value
 
 
+def evenly_spaced(text: str) -> bool:
+    """Whether all white space is single blanks and line ends between words: as many as there are
+    gaps, and with the words the whole text. Three times as fast as a pattern."""
+    words, n = text.split(), text.count(" ") + text.count("\n")
+    return len(words) == n + 1 and sum(map(len, words)) + n == len(text)
+
+
 class PieceMap:
     """Applies ``make`` to the pieces of texts; gives the list of its values in order."""
 
@@ -81,7 +87,7 @@ class PieceMap:
             return []
         if not self.exact:
             return [self.make(text)]
-        if ODD_SPACE.search(text) or text[-1] in " \n":
+        if not evenly_spaced(text):
             return list(map(self.raw.__getitem__, CUT.split(text)))
         out, spaced = [], self.spaced.__getitem__
         first = self.raw
@@ -128,6 +134,8 @@ class TextEncoder:
         else:  # white space is dropped, case folded
             front, word, lead = b"", word.lower(), ""
         key = lead + (word if word.isascii() else word.encode().decode("latin-1").translate(BYTES))
+        if not tail and not front and key not in self.cores:
+            return self._core(key)   # the table of pieces keeps it
         return front + self.cores[key] + (self.tails[tail] if tail else b"")
 
     def __call__(self, text: str | None) -> bytes:

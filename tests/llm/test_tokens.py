@@ -1,6 +1,7 @@
 """Token output (2), transducer (6) and packing (10) against the library."""
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ from tokenizers import Tokenizer
 
 from postlytics.llm import bpe, packing, token_output
 from postlytics.llm.common import scratch_folder, table
-from postlytics.llm.tokens import TextEncoder
+from postlytics.llm.tokens import TextEncoder, evenly_spaced
 
 SF = "/root/testdata/sf0.001"
 WORD, BYTE = P.path("word_bpe_49k.json"), P.path("byte_bpe_50k.json")
@@ -156,3 +157,16 @@ def test_sum_of_squares_choice():
             gaps.append(20)
         assert offset[i] == 20 - gaps[j]
         gaps[j] -= n
+
+
+def test_spacing_and_single_entries():
+    """op10: the cheap test of the spaces says what a pattern says; a new word has one entry, not two."""
+    rng, odd = random.Random(1), re.compile(r"\s\s|[^\S \n]|^\s")
+    chars = "ab  \n\n\t\r\x0b\x1c\x85\xa0\u3000\u200b\ufeffé"
+    for _ in range(20_000):
+        text = "".join(rng.choice(chars[:rng.choice((5, 6, 16))]) for _ in range(rng.randint(1, 7)))
+        assert evenly_spaced(text) == (not odd.search(text) and text[-1] not in " \n"), repr(text)
+    encoder = TextEncoder(BYTE)
+    text = "one two three two one, two"
+    assert np.frombuffer(encoder(text), "<u4").tolist() == library(BYTE).encode(text, add_special_tokens=False).ids
+    assert set(encoder.cores) == {"Ġone"}
