@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postlytics.llm.common import register, stored, table, whole_id, with_nulls
-from postlytics.llm.tokens import BYTES, cuts_at_space
+from postlytics.llm.tokens import BYTES, cuts_at_space, single_blanks
 from postlytics.session import ship_package
 
 BLOCK_BYTES = 1 << 16     # of texts, and of new pieces, aligned together; of a segment: arrays
@@ -42,7 +42,6 @@ PIECES = 250_000          # pieces a worker keeps
 BLOCK_PRODUCTS = 1 << 18  # products of a matrix multiplication held at a time
 HOT_PAIRS = 1 << 20       # pairs of ids whose counts every worker holds at most
 CUT = re.compile(r"(?<=\S)(?= )")
-ODD_SPACE = re.compile(r"  |[^\S \n]|\n |^\s| $")
 
 
 class CSR:
@@ -155,7 +154,7 @@ class Sides:
             return []
         if not self.cuts:
             return [text]
-        if ODD_SPACE.search(text):
+        if not single_blanks(text):
             return [p[1:] for p in CUT.split(" " + text)]
         return text.split(" ")
 

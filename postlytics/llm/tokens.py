@@ -75,6 +75,14 @@ def evenly_spaced(text: str) -> bool:
     return len(words) == n + 1 and sum(map(len, words)) + n == len(text)
 
 
+def single_blanks(text: str) -> bool:
+    """Whether a text's blanks stand one by one between other characters, none after a line end, and
+    all other white space is line ends, none of them first."""
+    return ("  " not in text and "\n " not in text and not text.endswith((" ", " \n"))
+            and not text[:1].isspace()
+            and sum(map(len, text.split())) + text.count(" ") + text.count("\n") == len(text))
+
+
 class PieceMap:
     """Applies ``make`` to the pieces of texts; gives the list of its values in order."""
 

@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 from postlytics.llm import bpe, packing, token_output
 from postlytics.llm.common import scratch_folder, table
-from postlytics.llm.tokens import TextEncoder, evenly_spaced
+from postlytics.llm.tokens import TextEncoder, evenly_spaced, single_blanks
 
 SF = "/root/testdata/sf0.001"
 WORD, BYTE = P.path("word_bpe_49k.json"), P.path("byte_bpe_50k.json")
@@ -170,3 +170,12 @@ def test_spacing_and_single_entries():
     text = "one two three two one, two"
     assert np.frombuffer(encoder(text), "<u4").tolist() == library(BYTE).encode(text, add_special_tokens=False).ids
     assert set(encoder.cores) == {"Ġone"}
+
+
+def test_single_blanks():
+    """op13: the cheap test of the blanks says what the pattern said."""
+    rng, odd = random.Random(2), re.compile(r"  |[^\S \n]|\n |^\s| $")
+    chars = "ab  \n\n\t\r\x0b\x1c\x85\xa0\u3000\u200b\ufeffé"
+    for _ in range(20_000):
+        text = "".join(rng.choice(chars[:rng.choice((5, 6, 16))]) for _ in range(rng.randint(1, 7)))
+        assert single_blanks(text) == (not odd.search(text)), repr(text)
