@@ -112,3 +112,38 @@ def test_write_and_read_a_tree(spark):
         steps = [int(x.split()[2]) for x in f]
     assert steps == sorted(steps)
     assert rl.write_metrics(history.limit(0), root + "/none").count() == 0
+
+
+def test_scan_lists_and_reads_in_tasks(spark, monkeypatch):
+    """No list of files on the driver (a scan by Spark's text source keeps one), pieces of large files
+    read by tasks of their own, names that Spark's scan passes over passed over."""
+    root = tempfile.mkdtemp(prefix="runlog-")
+    write_tree(root)
+    for rel in ("1/r1/metrics/.eval_f1.crc", "1/r1/metrics/_half", "1/.trash/metrics/x", "1/r3/metrics", "_tmp/r/metrics/x"):
+        path = os.path.join(root, *rel.split("/"))
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(path, "w") as f:
+            f.write("1 2 3\n")
+    os.makedirs(os.path.join(root, "1", "r4", "metrics"))
+    open(os.path.join(root, "1", "r4", "metrics", "empty"), "w").close()
+    ends = ["\n", "\r\n", "\r", "\n\n"]
+    with open(os.path.join(root, "1", "r4", "metrics", "long=1"), "w", newline="") as f:
+        f.write("﻿" + "".join(f"{1000 + i} {i / 2} {i}{ends[i % 4]}" for i in range(500)) + "9999 1.5 500")
+    old = rl.parse_metrics(spark.read.option("recursiveFileLookup", "true").text(root), root)
+    want = sorted(map(tuple, old.collect()))
+    assert len(want) == 8 + 501
+    for piece, text in ((1 << 26, 1 << 20), (64, 16), (7, 3), (1, 4)):
+        monkeypatch.setattr(rl, "PIECE_BYTES", piece)
+        monkeypatch.setattr(rl, "TEXT_BYTES", text)
+        with open(os.path.join(root, "1", "r4", "metrics", "long=1"), "rb") as f:
+            size = len(f.read())
+            lines = []
+            for start in range(0, size, piece):
+                f.seek(0)
+                lines += [x for t in rl._lines(f, start, min(start + piece, size))
+                          for x in t.replace(b"\r", b"\n").split(b"\n") if x]
+        assert lines == [b"%d %s %d" % (1000 + i, str(i / 2).encode(), i) for i in range(500)] + [b"9999 1.5 500"], piece
+    monkeypatch.setattr(rl, "PIECE_BYTES", 64)
+    new = rl.read_metrics(spark, root)
+    assert sorted(map(tuple, new.collect())) == want
+    assert "FileScan text" not in new._jdf.queryExecution().toString()
