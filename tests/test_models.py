@@ -103,3 +103,21 @@ def test_segment_equals_a_plain_dynamic_program(spark):
         got = {r.tag: r.segmented for r in sg.segment(df, "tag", counts, max_word=longest).collect()}
         for t in tags[:-2] + ["#É_x"]:
             assert got[t] == best(t.lower().replace("#", "").replace("_", ""), longest)
+
+
+def test_embedding_features_of_long_texts(spark):
+    """Embedding features are made by the form for long texts (no hash per occurrence in the JVM), equal to the
+    staged expression; forests keep the nodes of rows instead of walking all rows down all trees per level."""
+    from postlytics.operators import embed as em
+    rows = [(i, t, i % 2, "x") for i, t in enumerate(["#Good day", "", None, "a", "Grüße ß", "long " * 500, "日本語のテキスト"])]
+    df = spark.createDataFrame(rows, "post_id long, text string, label int, split string")
+    emb = em.HashedNgramEmbedder()
+    new = emb.add_long(df, "text", "e")
+    assert new.columns == df.columns + ["e"]
+    assert "md5" not in new._jdf.queryExecution().optimizedPlan().toString()
+    want = {r.post_id: r.e for r in emb.add_column(df, "text", "e").collect()}
+    assert {r.post_id: r.e for r in new.collect()} == want
+    (got,), _ = md.featurize(df.where("text IS NOT NULL"), [], "embedding")
+    assert {r.post_id: list(r.features) for r in got.collect()} == {i: e for i, e in want.items() if e is not None}
+    forest = {"n_estimators": 3, "max_depth": 3, "min_samples_split": 0.1, "max_features": 0.5}
+    assert md.make_estimator("forest", forest, 10).getCacheNodeIds()
