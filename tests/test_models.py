@@ -121,3 +121,26 @@ def test_embedding_features_of_long_texts(spark):
     assert {r.post_id: list(r.features) for r in got.collect()} == {i: e for i, e in want.items() if e is not None}
     forest = {"n_estimators": 3, "max_depth": 3, "min_samples_split": 0.1, "max_features": 0.5}
     assert md.make_estimator("forest", forest, 10).getCacheNodeIds()
+
+
+def test_forest_takes_terms_that_can_split(spark):
+    """Terms too rare to split a node are left out of a forest's rows, and the trees stay the same."""
+    from pyspark.ml.linalg import SparseVector
+    wide = 200_000
+    rows = []
+    for i in range(400):
+        own = 1000 + i * 400   # terms of this row alone
+        at = {i % 7: 1.0 + i % 3, 10 + i % 2: 1.0, own: 2.0, own + 5: 1.0} | ({50: 0.5} if i % 5 == 0 else {})
+        rows.append((i, (i % 7 + i % 2) % 3, SparseVector(wide, dict(sorted(at.items())))))
+    df = spark.createDataFrame(rows, ["post_id", "label", "features"]).coalesce(2)
+    assert md.splitting_terms(df, 41) is None
+    assert md.splitting_terms(df, 370) == [10, 11]
+    params = {"n_estimators": 4, "max_depth": 4, "min_samples_split": 0.21, "max_features": 1.0}   # 42 rows a node
+    model = md.fit_model(df, "forest", params, 400)
+    assert model.stages[-1].numFeatures == len(md.splitting_terms(df, 42)) < 20
+    narrow = spark.createDataFrame([(i, y, SparseVector(60, {k: x for k, x in zip(v.indices, v.values) if k < 60}))
+                                    for i, y, v in rows], ["post_id", "label", "features"]).coalesce(2)
+    plain = md.make_estimator("forest", params, 400).fit(narrow)   # the terms left out change nothing
+    got = {r.post_id: list(r.probability) for r in model.transform(df).collect()}
+    assert got == {r.post_id: list(r.probability) for r in plain.transform(narrow).collect()}
+    assert len({tuple(p) for p in got.values()}) > 1
